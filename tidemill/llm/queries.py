@@ -15,5 +15,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.digest(d.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm import chat
+
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm import fingerprint
+
+    return fingerprint.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}

@@ -21,6 +21,57 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP2 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|im_(start|end)\|>', '<\\\1|im_\2|>', 'g'))) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
+def _fingerprint(text: str) -> str:
+    words, pieces = r"[^ \t\n\r]+", r"[^ \t\n\r]+(?:[ \t\r]+[^ \t\n\r]+){0,3}"
+    sketch = "list_sort(list_distinct(list_transform(regexp_extract_all({t}, '{p}'), lambda p: left(md5(p), 8))))[1:64]"
+    root = "sha256(array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256(q)), ''))), ''))"
+    n = "len(regexp_extract_all({t}, '{p}'))"
+    return (
+        f"{root.format(t=text)} || ':' || {n.format(t=text, p=pieces)} || ':' || array_to_string({sketch.format(t=text, p=pieces)}, ',')"
+        f" || ':' || CASE WHEN {n.format(t=text, p=pieces)} < 8 THEN array_to_string({sketch.format(t=text, p=words)}, ',') ELSE '' END"
+    )
+
+
+def _likeness(a: str, b: str) -> str:
+    def jaccard(k: int) -> str:
+        x, y = (f"list_filter(string_split(split_part({c}, ':', {k}), ','), lambda h: h <> '')" for c in (a, b))
+        least = f"list_sort(list_distinct(list_concat({x}, {y})))[1:64]"
+        return f"coalesce(len(list_intersect(list_intersect({x}, {y}), {least})) / nullif(len({least}), 0), 0.0)"
+
+    few = f"least(CAST(split_part({a}, ':', 2) AS INT), CAST(split_part({b}, ':', 2) AS INT)) < 8"
+    return f"CAST(CASE WHEN {a} = {b} THEN 1.0 WHEN {few} THEN ({jaccard(3)} + {jaccard(4)}) / 2 ELSE {jaccard(3)} END AS DOUBLE)"
+
+
+OP3 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (
+  SELECT doc_id, text, length(text) AS n_chars, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text
+  FROM d WINDOW o AS (ORDER BY doc_id, text)
+), e AS (
+  SELECT *, left(text, n_chars - n_chars // 4) || left(next_text, n_chars // 4) AS edited FROM n
+), f AS (
+  SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_fingerprint("text")} AS fingerprint,
+    {_fingerprint("edited")} AS edited_fingerprint, {_fingerprint("next_text")} AS next_fingerprint
+  FROM e
+)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  {_likeness("fingerprint", "edited_fingerprint")} AS near_edited, {_likeness("fingerprint", "next_fingerprint")} AS near_next
+FROM f
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1}
+    return {"op1_decontaminate": OP1, "op2_chat_format": OP2, "op3_fingerprints": OP3}
