@@ -3,8 +3,9 @@
 A word is an expression spelled letter by letter: each class has a model of order ORDER over the letters of its words,
 counted over every word of every labelled document that isn't held out (fold 4 only calibrates). Both classes back off
 to the same lower orders, made of continuation counts over both, so spellings that are rare in either class say nothing
-for or against it. A text's toxic and ordinary log-likelihoods are compared by word in each window of WINDOW words, and
-its most toxic window counts; a logistic curve turns that into a probability.
+for or against it. A text's toxic and ordinary log-likelihoods are compared word by word; what counts is the mean over
+the PEAK words that speak most for the toxic model, so neither a long text's ordinary words hide an insult nor does
+length add up. A logistic curve turns that into a probability.
 
 The counts are summed by Spark. The table of letter groups that goes to the workers holds MOST_GRAMS at most: should
 there be more, the least count that a group needs to be kept rises until it fits, and rarer ones are left to the backoff.
@@ -15,6 +16,7 @@ contradicting labels of one id count as 1; runs of more than LONGEST letters are
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import materialize, release
 from tidemill.llm.labelled import fold, join_labels, logistic, usable
 
-ORDER, WINDOW, LONGEST, DISCOUNT = 5, 20, 40, 0.75
+ORDER, PEAK, LONGEST, DISCOUNT = 5, 3, 40, 0.75
 MOST_GRAMS = 500_000
 FLUSH = 200_000
 LETTERS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
@@ -130,20 +132,15 @@ class Scorer:
         return total
 
     def text(self, text: str | None) -> float:
-        """The largest mean log ratio of WINDOW consecutive words (a shorter text is one window)."""
+        """The mean log ratio of the PEAK words with the largest (missing ones count as 0)."""
         words = words_of(text)
-        if not words:
-            return 0.0
         if len(self.seen) > self.KEPT:
             self.seen.clear()
         seen = self.seen
         for w in set(words):
             if w not in seen:
                 seen[w] = self.word(w)
-        sums = np.cumsum(np.fromiter((seen[w] for w in words), float, len(words)))
-        if len(words) <= WINDOW:
-            return float(sums[-1]) / WINDOW
-        return float(np.max(sums[WINDOW - 1 :] - np.concatenate([[0.0], sums[:-WINDOW]]))) / WINDOW
+        return sum(heapq.nlargest(PEAK, map(seen.__getitem__, words))) / PEAK
 
 
 def _raw(docs: DataFrame, shared) -> DataFrame:
