@@ -71,3 +71,11 @@ def partitions(spark: SparkSession) -> int:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

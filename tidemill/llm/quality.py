@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import fresh
 from tidemill.llm.labelled import fold, logistic, probability, usable
 
 THRESHOLD = 0.3
@@ -95,9 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> Model
     return Model(good, bad, *logistic(x, y, weight))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column quality_score (any column of that name is replaced)."""
-    docs = docs.drop("quality_score")
+def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """docs with a further column `name`, which docs must not have."""
     at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,14 +105,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         good, bad = compressor(m.good), compressor(m.bad)
         for batch in batches:
             scores = [probability(difference(t, good, bad), m.a, m.b) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("quality_score")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least threshold; same columns."""
-    return score(docs, fit(docs, labels)).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    name = fresh(docs, "quality_score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) >= threshold).select(*docs.columns)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
