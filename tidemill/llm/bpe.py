@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by DuckDB, one connection for each Python worker.
 
 A text is cut by the tokenizer's pattern; each different piece is encoded once and remembered (two generations of up to
-KEPT pieces, so memory is bounded). New pieces go to a recursive query: rows (piece, position, token) join the merge
-table with their right neighbour, and each round contracts the leftmost pair of least rank of every piece, until none
-has a pair left. Tokens decode to bytes by an aggregation ordered by position. Pieces that are whole tokens take that
+KEPT pieces, so memory is bounded). New pieces go to a recursive query: token-position rows join the merge table with
+their right neighbour, and each round contracts the leftmost pair of least rank of every piece, until none has a pair
+left. Tokens decode to bytes by an aggregation ordered by position. Pieces that are whole tokens take that
 token, as the library does; those of more than LONG bytes, which would take as many rounds as they have tokens, are
 contracted by a heap in the same order.
 
@@ -27,26 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT, LONG, BATCH, SLICE = 250_000, 200, 20_000, 4_000_000
+KEPT, LONG, BATCH, SLICE = 400_000, 200, 5_000, 4_000_000
 
-ENCODE = f"""
+# a round: token-position rows of every piece that isn't done, the best pair of each, and the list with that pair as one token
+ENCODE = """
 WITH RECURSIVE steps AS (
-  SELECT piece, pos, token, pair, min(pair) OVER (PARTITION BY piece) AS best
-  FROM (SELECT piece, pos, token, rank * 4096 + pos AS pair
-        FROM (SELECT piece, pos, token, lead(token) OVER (PARTITION BY piece ORDER BY pos) AS next FROM bytes_of_pieces)
-        LEFT JOIN merges ON token = a AND next = b)
+  SELECT piece, tokens FROM bytes_of_pieces
   UNION ALL
-  SELECT piece, pos, token, pair, min(pair) OVER (PARTITION BY piece) AS best
-  FROM (SELECT piece, pos, token, rank * 4096 + pos AS pair
-        FROM (SELECT piece, pos, token, lead(token) OVER (PARTITION BY piece ORDER BY pos) AS next
-              FROM (SELECT piece, pos, CASE WHEN pair = best THEN CAST(best // 4096 AS INT) ELSE token END AS token,
-                           coalesce(lag(pair) OVER (PARTITION BY piece ORDER BY pos) = best, false) AS gone
-                    FROM steps WHERE best IS NOT NULL)
-              WHERE NOT gone)
-        LEFT JOIN merges ON token = a AND next = b)
-)
+  SELECT piece, tokens[:pos - 1] || [token] || tokens[pos + 2:]
+  FROM (SELECT piece, any_value(tokens) AS tokens, min(rank * 4096 + pos) AS best, CAST(best // 4096 AS INT) AS token, best % 4096 AS pos
+        FROM (SELECT piece, tokens, unnest(tokens[:-2]) AS a, unnest(tokens[2:]) AS b, unnest(range(1, len(tokens))) AS pos FROM steps)
+        JOIN merges USING (a, b) GROUP BY piece)
+), done AS (SELECT piece, min_by(tokens, len(tokens)) AS tokens FROM steps GROUP BY piece)
 SELECT piece, list(token ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS decoded
-FROM steps JOIN vocabulary ON token = id WHERE best IS NULL GROUP BY piece
+FROM (SELECT piece, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM done) JOIN vocabulary ON token = id GROUP BY piece
 """
 
 DECODE = "SELECT row, string_agg(hex, '' ORDER BY pos) FROM tokens JOIN vocabulary ON token = id GROUP BY row"
@@ -156,8 +150,8 @@ class Coder:
             some = todo[at : at + BATCH]
             sizes = np.array([len(r) for _, r in some])
             raw = np.frombuffer(b"".join([r for _, r in some]), np.uint8)
-            starts = np.cumsum(sizes) - sizes
-            rows = pa.table([np.repeat(np.arange(len(some), dtype=np.int32), sizes), (np.arange(len(raw)) - np.repeat(starts, sizes)).astype(np.int32), self.single[raw]], ["piece", "pos", "token"])
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            rows = pa.table([pa.array(np.arange(len(some), dtype=np.int32)), pa.ListArray.from_arrays(ends, self.single[raw])], ["piece", "tokens"])
             self.db.register("bytes_of_pieces", rows)
             found = self.db.sql(ENCODE).to_arrow_table().combine_chunks()
             self.db.unregister("bytes_of_pieces")
