@@ -5,17 +5,23 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts all suffixes of an integer array; a suffix that ends first is smaller.
+def suffix_array(text: np.ndarray, depth: int | None = None, bits: int = 63) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts all suffixes of an array of integers from 0; a suffix that ends first is smaller.
 
-    Each round doubles the sorted depth and touches only slots of groups that are still unsorted. With depth, rounds end
-    once that many symbols are compared. Returns (sa, rank); rank is the first slot of a suffix's group.
+    The first sort packs as many symbols of so many bits as fit one number. Each round then doubles the sorted depth and
+    touches only slots of groups that are still unsorted. With depth, rounds end once that many symbols are compared.
+    Returns (sa, rank); rank is the first slot of a suffix's group.
     """
     n = len(text)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    sa = np.argsort(text, kind="stable").astype(np.int64)
-    ordered = text[sa]
+    h = max(1, 63 // bits)
+    packed = np.zeros(n, np.int64)
+    for k in range(h):  # 0 stands for the end
+        packed <<= bits
+        packed[: n - k] += text[k:].astype(np.int64) + (h > 1)
+    sa = np.argsort(packed, kind="stable").astype(np.int64)
+    ordered = packed[sa]
     first = np.empty(n + 1, bool)
     first[0] = first[n] = True
     np.not_equal(ordered[1:], ordered[:-1], out=first[1:n])
@@ -23,7 +29,6 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
     starts = np.flatnonzero(first[:n])
     rank[sa] = np.repeat(starts, np.diff(np.append(starts, n)))
     slots = np.flatnonzero(~(first[:n] & first[1:]))
-    h = 1
     while slots.size and (depth is None or h < depth):
         suffix = sa[slots]
         group = rank[suffix]
