@@ -65,5 +65,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm import paragraphs
+
+    return paragraphs.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
