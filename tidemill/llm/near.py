@@ -2,8 +2,8 @@
 
 Equal sets are one class from the start, so exact copies never meet in pairs. Each class is posted under its signature's
 coordinate-value pairs. Postings of single coordinates grow with any common line, so lists are merged by prefix: a list
-is kept under RUN coordinates and their values together, for LISTS fixed choices of coordinates, and lists of one class
-are dropped. Within a list, equal coordinates are counted for each pair; pairs below `match` of COORDINATES are skipped,
+is kept under RUN coordinates and their values together, for LISTS fixed choices of coordinates (see Lists), and lists of
+one class are dropped. Within a list, equal coordinates are counted for each pair; pairs below `match` of COORDINATES are skipped,
 the others are confirmed on their whole sets. match and RUN lie so far below what linked pairs share that about one
 link in 10^4 right at the threshold is missed, and none that matters further up.
 
@@ -18,6 +18,7 @@ Components come from large-star and small-star rounds on the links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +32,38 @@ from tidemill.llm.shingles import COORDINATES, describe_texts, mix, unpack
 RUN, LISTS, SMALL, BLOCK, BLOCK_GRAMS = 6, 40, 32, 1536, 4_000_000
 #: Lists of ids that are broadcast hold so many rows at most; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 4_000_000
-_CHOICES = np.stack([np.sort(np.random.Generator(np.random.PCG64(7 + k)).permutation(COORDINATES)[:RUN]) for k in range(LISTS)])
-_WEIGHTS = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, (LISTS, RUN), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNED = "n long, k1 long, k2 long, sig binary, grams binary"
+
+class Lists(NamedTuple):
+    """Which coordinates are merged into each list, and the weights that hash their values."""
+
+    choices: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, lists: int = LISTS, run: int = RUN) -> Lists:
+        choices = [np.sort(np.random.Generator(np.random.PCG64(7 + k)).permutation(COORDINATES)[:run]) for k in range(lists)]
+        weights = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, (lists, run), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        return cls(np.stack(choices), weights)
+
+    def keys(self, sig: np.ndarray) -> np.ndarray:
+        """The keys of each signature, one for each list."""
+        out = np.empty((len(sig), len(self.choices)), np.uint64)
+        for k, (c, w) in enumerate(zip(self.choices, self.weights, strict=True)):
+            out[:, k] = (sig[:, c].astype(np.uint64) * w).sum(1, dtype=np.uint64)
+        return mix(out + np.arange(len(self.choices), dtype=np.uint64))
+
+
+#: low: the lowest byte of each coordinate, enough to skip pairs.
+SIGNED = "n long, k1 long, k2 long, sig binary, low binary, grams binary"
 
 
 def signed_columns(texts: list[str | None]) -> list[pa.Array]:
     """The columns of SIGNED."""
     s = describe_texts(texts)
     sig = [row.tobytes() for row in s.signatures]
-    return [pa.array(s.sizes), pa.array(s.keys[:, 0].view(np.int64)), pa.array(s.keys[:, 1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(s.grams, pa.binary())]
+    low = [row.tobytes() for row in s.signatures.astype(np.uint8)]
+    return [pa.array(s.sizes), pa.array(s.keys[:, 0].view(np.int64)), pa.array(s.keys[:, 1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(low, pa.binary()), pa.array(s.grams, pa.binary())]
 
 
 def sign(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -53,32 +75,25 @@ def sign(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *signed_columns(part.columns[-1].to_pylist())], [*keep, "n", "k1", "k2", "sig", "grams"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *signed_columns(part.columns[-1].to_pylist())], [*keep, "n", "k1", "k2", "sig", "low", "grams"])
 
     return source.mapInArrow(run, schema)
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
-
-
-def list_keys(sig: np.ndarray) -> np.ndarray:
-    """The LISTS keys of each signature."""
-    out = np.empty((len(sig), LISTS), np.uint64)
-    for k in range(LISTS):
-        out[:, k] = (sig[:, _CHOICES[k]].astype(np.uint64) * _WEIGHTS[k]).sum(1, dtype=np.uint64)
-    return mix(out + np.arange(LISTS, dtype=np.uint64))
+def _signatures(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, COORDINATES)
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, lists: Lists) -> DataFrame:
     """(key, list, cid, n) from classes (cid, n, sig)."""
+    many = len(lists.choices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                keys = list_keys(_signatures(batch.column(2))).view(np.int64)
-                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, LISTS, dtype=np.int32), keys.ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["cid", "n", "keys"])
+                keys = lists.keys(_signatures(batch.column(2))).view(np.int64)
+                arrays = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, many, dtype=np.int32), keys.ravel())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), arrays], ["cid", "n", "keys"])
 
     keyed = classes.select("cid", "n", "sig").mapInArrow(run, "cid long, n long, keys array<long>")
     return keyed.select("cid", "n", F.posexplode("keys").alias("list", "key"))
@@ -101,11 +116,11 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBa
 
 
 def _small_pairs(lists: DataFrame, match: int) -> DataFrame:
-    """(a, b), a < b, of the retained pairs in lists (key, cid, sig) of up to SMALL classes."""
+    """(a, b), a < b, of the retained pairs in lists (key, cid, low) of up to SMALL classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, 0):
-            key, cid, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _signatures(batch.column(2))
+            key, cid, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _signatures(batch.column(2), np.uint8)
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(start, len(key)))
             left, right = [], []
@@ -140,12 +155,12 @@ def _root(up: list[int], i: int) -> int:
     return i
 
 
-def _forest(cid: np.ndarray, side: np.ndarray, which: np.ndarray, sig: np.ndarray, grams: list[bytes], one_block: bool, match: int, num: int, den: int) -> list[tuple[int, int]]:
+def _forest(cid: np.ndarray, side: np.ndarray, which: np.ndarray, sig: np.ndarray, grams: list[bytes], one_block: bool, match: int, num: int, den: int, choices: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links within one block, or between two (side 0 and 1), of one list."""
     sets = [unpack(g) for g in grams]
     sizes = np.array([len(s) for s in sets])
     up, out = list(range(len(cid))), []
-    earlier = _CHOICES[: int(which[0])]
+    earlier = choices[: int(which[0])]
     for i in range(len(cid)):
         j = np.arange(i + 1, len(cid)) if one_block else np.flatnonzero(side == 1) if side[i] == 0 else np.empty(0, np.int64)
         if not j.size:
@@ -170,7 +185,7 @@ def _forest(cid: np.ndarray, side: np.ndarray, which: np.ndarray, sig: np.ndarra
     return out
 
 
-def _large_links(blocks: DataFrame, match: int, num: int, den: int) -> DataFrame:
+def _large_links(blocks: DataFrame, match: int, num: int, den: int, choices: np.ndarray) -> DataFrame:
     """(a, b) from rows (unit, bi, bj, block, list, cid, sig, grams) with the units' rows side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +196,7 @@ def _large_links(blocks: DataFrame, match: int, num: int, den: int) -> DataFrame
             for s, e in zip(start, np.append(start[1:], len(unit)), strict=True):
                 part = batch.slice(s, e - s)
                 bi, bj, block, which, cid = (part.column(k).to_numpy() for k in range(1, 6))
-                edges += _forest(cid, (block == bj).astype(int), which, _signatures(part.column(6)), part.column(7).to_pylist(), bool(bi[0] == bj[0]), match, num, den)
+                edges += _forest(cid, (block == bj).astype(int), which, _signatures(part.column(6)), part.column(7).to_pylist(), bool(bi[0] == bj[0]), match, num, den, choices)
             if edges:
                 a, b = (np.array(x, np.int64) for x in zip(*edges, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -205,19 +220,19 @@ def small_enough(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def links(signed: DataFrame, classes: DataFrame, *, num: int, den: int, match: int) -> DataFrame:
+def links(signed: DataFrame, classes: DataFrame, *, num: int, den: int, match: int, lists: Lists | None = None) -> DataFrame:
     """(a, b): links between classes (cid) that connect what is to be connected. signed: row and SIGNED; cid is a row."""
     n = partitions(signed.sparkSession)
-    firsts = signed.where("n > 0").join(classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid")
-    firsts = materialize(firsts.select("cid", "n", "sig", "grams"))
-    posted = materialize(postings(firsts))
-    lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
-    posted_in = materialize(posted.join(lists, "key"))
-    release(posted)
-    active = small_enough(posted_in.select("cid").distinct())
-    sets = firsts.join(active, "cid", "left_semi")
-    small = posted_in.where(F.col("size") <= SMALL).select("key", "cid").join(sets.select("cid", "sig"), "cid")
-    small = small.select("key", "cid", "sig").repartition(n, "key").sortWithinPartitions("key", "cid")
+    firsts = signed.where("n > 0").select(F.col("row").alias("cid"), "n", "sig").join(classes.select("cid"), "cid", "left_semi")
+    firsts = materialize(firsts)
+    lists = lists or Lists.of()
+    posted = postings(firsts, lists)
+    shared = posted.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
+    posted_in = materialize(posted.join(shared, "key"))
+    release(firsts)
+    sets = signed.withColumnRenamed("row", "cid").join(small_enough(posted_in.select("cid").distinct()), "cid", "left_semi")
+    small = posted_in.where(F.col("size") <= SMALL).select("key", "cid").join(sets.select("cid", "low"), "cid")
+    small = small.select("key", "cid", "low").repartition(n, "key").sortWithinPartitions("key", "cid")
     pairs = materialize(_small_pairs(small, match).distinct())
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("grams").alias("x")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
@@ -230,7 +245,7 @@ def links(signed: DataFrame, classes: DataFrame, *, num: int, den: int, match: i
         large = large.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
         units = large.select(F.xxhash64("key", "bi", "bj").alias("unit"), "bi", "bj", "block", "list", "cid").join(sets.select("cid", "sig", "grams"), "cid")
         units = units.select("unit", "bi", "bj", "block", "list", "cid", "sig", "grams").repartition(n, "unit").sortWithinPartitions("unit", "block", "cid")
-        found = found.unionByName(materialize(_large_links(units, match, num, den)))
+        found = found.unionByName(materialize(_large_links(units, match, num, den, lists.choices)))
     return found
 
 

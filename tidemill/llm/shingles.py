@@ -30,20 +30,29 @@ def fold(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD) if text else b""
 
 
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _P and of its inverse, n of each."""
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for base in (_P, _INVERSE):
+            x = np.full(max(2 * n, 1 << 16), base)
+            x[0] = 1
+            _powers.append(np.multiply.accumulate(x))
+    return _powers[0][:n], _powers[1][:n]
+
+
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word of folded text."""
     b = np.frombuffer(raw, np.uint8)
     inside = np.concatenate([[False], b != 32, [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    power = np.full(len(b) + 1, _P)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
+    power, back = _power(len(b) + 1)
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(power[:-1] * (b.astype(np.uint64) + np.uint64(1)), out=sums[1:])
-    back = np.full(len(b) + 1, _INVERSE)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
     return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)), start, end
 
 
