@@ -35,7 +35,7 @@ def active_transactions(log: DataFrame) -> DataFrame:
     begun = F.max(F.when(F.col("type").isin(WRITE, TXN_BEGIN), F.col("pos")))
     ended = F.max(F.when(F.col("type").isin(TXN_COMMIT, TXN_ROLLBACK), F.col("pos")))
     last = log.where("tx_id <> 0").groupBy("tx_id").agg(begun.alias("begun"), ended.alias("ended"))
-    return last.where(F.col("begun").isNotNull() & (F.col("begun") > F.coalesce("ended", F.lit(-1)))).select("tx_id")
+    return last.where(F.col("begun").isNotNull() & (F.col("ended").isNull() | (F.col("begun") > F.col("ended")))).select("tx_id")
 
 
 def last_ids(log: DataFrame) -> DataFrame:
