@@ -1,7 +1,7 @@
 """Substring dedup by paragraphs: MinHash bands, exact Jaccard, and one paragraph kept of each component.
 
 Paragraphs are lines of LEAST words or more. Those whose signatures collide in a band (Lists of BANDS bands of ROWS
-coordinates, which join paragraphs of similarity 0.8 with probability 0.9996) are confirmed by the exact Jaccard index
+coordinates, which join paragraphs of similarity 0.8 with probability 0.998) are confirmed by the exact Jaccard index
 of their 5-word shingles, and of each component of links all but the first paragraph (by doc_id, then place) go.
 
 A passage that is set into different paragraphs makes no such pair. So each document is also cut, whatever its lines, into
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm import near
-from tidemill.llm.common import materialize
-from tidemill.llm.repeats import _in_table, owner_table, sliding_min
+from tidemill.llm import bits, near
+from tidemill.llm.common import materialize, release
+from tidemill.llm.repeats import sliding_min
 from tidemill.llm.shingles import describe, fold, mix, shingle_sets, word_hashes
 
-LEAST, REACH, BANDS, ROWS = 20, 4, 24, 5
+LEAST, REACH, BANDS, ROWS = 20, 4, 12, 4
 NUM, DEN, MATCH = 80, 100, 38
 _TURN = np.uint64(0xA24BAED4963EE407 | 1)
 _BACK = np.uint64(pow(int(_TURN), -1, 1 << 64))
@@ -101,13 +101,13 @@ def repeated_units(docs: DataFrame, table: np.ndarray, lists: near.Lists) -> Dat
                 per_text, s, keys = _units(part.column(2).to_pylist(), lists)
                 doc = np.repeat(np.arange(len(part)), [len(p) for p, _, _ in per_text])
                 pairs = np.concatenate([p for p, _, _ in per_text]).reshape(-1, 2)
-                go = np.flatnonzero(_in_table(shared.value, keys).any(1))
+                go = np.flatnonzero(bits.holds(shared.value, keys.ravel()).reshape(keys.shape).any(1))
                 if go.size:
                     binary = [pa.array([x.tobytes() for x in s.signatures[go]], pa.binary()), pa.array([x.tobytes() for x in s.signatures[go].astype(np.uint8)], pa.binary()), pa.array([s.grams[i] for i in go], pa.binary())]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[go])), part.column(1).take(pa.array(doc[go])), pa.array(pairs[go, 0]), pa.array(pairs[go, 1]), pa.nulls(len(go), pa.int64()), pa.array(s.sizes[go]), *(pa.array(s.keys[go, k].view(np.int64)) for k in (0, 1)), *binary], names)
                 doc = np.repeat(np.arange(len(part)), [len(k) for _, _, k in per_text])
                 pairs, key = np.concatenate([p for _, p, _ in per_text]), np.concatenate([k for _, _, k in per_text])
-                go = np.flatnonzero(_in_table(shared.value, key))
+                go = np.flatnonzero(bits.holds(shared.value, key))
                 if go.size:
                     none = [pa.nulls(len(go), pa.int64())] * 3 + [pa.nulls(len(go), pa.binary())] * 3
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[go])), part.column(1).take(pa.array(doc[go])), pa.array(pairs[go, 0]), pa.array(pairs[go, 1]), pa.array(key[go].view(np.int64)), *none], names)
@@ -126,7 +126,9 @@ def find(docs: DataFrame) -> DataFrame:
     """
     lists = near.Lists.of(BANDS, ROWS)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text")).select("doc_id", "hash", "text")
-    units = repeated_units(docs, owner_table(materialize(count_keys(docs, lists))), lists)
+    counts = materialize(count_keys(docs, lists))
+    units = repeated_units(docs, bits.build(counts, "owner"), lists)
+    release(counts)
     units = materialize(units.withColumn("row", F.monotonically_increasing_id()))
 
     paragraphs = units.where("piece IS NULL")
@@ -138,10 +140,10 @@ def find(docs: DataFrame) -> DataFrame:
 
     small = units.where("piece IS NOT NULL").select("piece", "doc_id", "hash", "first", "last")
     least = small.groupBy("piece").agg(F.min(_place()).alias("kept"), F.count("*").alias("n")).where("n > 1").select("piece", "kept")
-    bits = small.join(least, "piece").where(_place() > F.col("kept"))
+    later = small.join(least, "piece").where(_place() > F.col("kept"))
 
     columns = ["doc_id", "hash", F.struct("first", "last", F.col("kept.doc_id").alias("earlier"), F.col("whole")).alias("found")]
-    every = again.withColumn("whole", F.lit(True)).select(*columns).unionByName(bits.withColumn("whole", F.lit(False)).select(*columns))
+    every = again.withColumn("whole", F.lit(True)).select(*columns).unionByName(later.withColumn("whole", F.lit(False)).select(*columns))
     every = every.groupBy("doc_id", "hash").agg(F.collect_set("found").alias("found"))
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.hash") == F.col("f.hash"))
     return docs.alias("d").join(every.alias("f"), same, "left").select("d.doc_id", "d.hash", "d.text", "f.found")
