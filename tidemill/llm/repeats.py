@@ -11,8 +11,8 @@ hashes of each are binary-searched among the sorted hashes of those before. A sh
 bounds groups by the number of shards; windows of owners with more than HOT occurrences are dealt one by one by their
 own hash.
 
-The owners that occur more than once reach the tasks as bits of a table of at most TABLE_BITS; hash collisions there
-only let more windows go on, so the result is the same for any size of input.
+The owners that occur more than once reach the tasks as a table of bits of bounded size; hash collisions there only let
+more windows go on, so the result is the same for any size of input.
 
 Exact copies of an earlier document are repeats as a whole and are set aside before. Documents are ordered by doc_id
 (null first), then by a hash of the text; rows with equal doc_id and text are one document and get the same result.
@@ -32,17 +32,19 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm import bits
 from tidemill.llm.common import materialize, partitions
 from tidemill.llm.near import _groups, small_enough
-from tidemill.llm.shingles import mix
-from tidemill.llm.suffix import common_prefixes, suffix_array
+from tidemill.llm.suffix import common_prefixes, pack, suffix_array
 
-LENGTH, SHARD, HOT, TABLE_BITS = 100, 4 << 20, 4000, 1 << 28
+LENGTH, SHARD, HOT = 100, 2 << 20, 4000
 MOST_HOT = 1_000_000
 _K = LENGTH // 2
+_CHUNK = 1 << 16
 _SPAN = LENGTH - _K + 1  # strings of _K bytes in a window
 _P = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_STIR = np.uint64(0xBF58476D1CE4E5B9)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _powers: list[np.ndarray] = []
 
@@ -62,8 +64,16 @@ def rolling(b: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k bytes of b."""
     power, back = _power(len(b) + 1)
     sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(power[:-1] * (b.astype(np.uint64) + np.uint64(1)), out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * back[: len(b) - k + 1])
+    np.multiply(power[:-1], b, out=sums[1:])
+    np.cumsum(sums, out=sums)
+    x = sums[k:] - sums[:-k]
+    x *= back[: len(x)]
+    x ^= x >> np.uint64(32)
+    x *= _STIR
+    x ^= x >> np.uint64(29)
+    x *= _P
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -88,10 +98,18 @@ def owned(b: np.ndarray, ends: np.ndarray) -> Owned:
     empty = np.empty(0, np.int64)
     if len(b) < LENGTH:
         return Owned(empty, empty, np.empty(0, np.uint64))
-    h = rolling(b, _K)
-    shift = np.uint64(max(1, len(h)).bit_length())
-    key = (h >> shift << shift) | np.arange(len(h), dtype=np.uint64)
-    at = (sliding_min(key, _SPAN) & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+    h, at = np.empty(len(b) - _K + 1, np.uint64), np.empty(len(b) - LENGTH + 1, np.int64)
+    shift = np.uint64(_CHUNK.bit_length())
+    low = (np.uint64(1) << shift) - np.uint64(1)
+    for begin in range(0, len(at), _CHUNK):  # pieces that fit the cache
+        some = rolling(b[begin : begin + _CHUNK + LENGTH - 1], _K)
+        h[begin : begin + len(some)] = some
+        some &= ~low
+        some |= np.arange(len(some), dtype=np.uint64)
+        least = sliding_min(some, _SPAN)
+        least &= low
+        at[begin : begin + len(least)] = least
+        at[begin : begin + len(least)] += begin
     valid = np.ones(len(at), bool)
     for e in ends[:-1].tolist():
         valid[max(0, e - LENGTH + 1) : e] = False
@@ -143,8 +161,9 @@ def repeated_in_shard(b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     place = np.repeat(begin - at, size) + np.arange(int(size.sum()))
     text = b[np.minimum(place, len(b) - 1)].astype(np.int16) + 1
     text[at + size - 1] = 0  # ends a region
-    sa, _ = suffix_array(text, LENGTH, 9)
-    same = common_prefixes(text, sa, LENGTH) >= LENGTH
+    packed, _ = pack(text, 9)
+    sa, _ = suffix_array(text, LENGTH, 9, packed)
+    same = common_prefixes(text, sa, LENGTH, 9, packed) >= LENGTH
     start = np.flatnonzero(~same)
     first = np.repeat(np.minimum.reduceat(sa, start), np.diff(np.append(start, len(sa))))
     later = sa[sa != first]
@@ -168,33 +187,15 @@ def count_owners(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "owner long, n long").groupBy("owner").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def owner_table(counts: DataFrame) -> np.ndarray:
-    """A bit for each owner in counts; other owners may share bits."""
-    size = 1 << 16
-    while size < min(TABLE_BITS, 16 * counts.count()):
-        size *= 2
-    bit = F.col("owner").bitwiseAND(size - 1)
-    words = counts.select(F.shiftright(bit, 5).alias("word"), bit.bitwiseAND(31).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-    table = np.zeros(size >> 5, np.uint32)
-    for r in words.toLocalIterator():  # size / 32 rows at most
-        table[r.word] = r.bits
-    return table
-
-
-def _in_table(table: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    bit = (owner & np.uint64(len(table) * 32 - 1)).astype(np.int64)
-    return ((table[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)
-
-
 def shard_runs(docs: DataFrame, table: np.ndarray, hot: np.ndarray) -> DataFrame:
     """_RUN rows: bytes that a shard removes (owner null), and runs of windows to merge across shards, with their bytes."""
     shared = docs.sparkSession.sparkContext.broadcast((table, np.sort(hot)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hot_owners = shared.value
+        table, hot_owners = shared.value
         for ids, hashes, offsets, ends, b in _buffers(batches):
             o = owned(b, ends)
-            go = _in_table(bits, o.owner)
+            go = bits.holds(table, o.owner)
             low, high, owner = o.low[go], o.high[go], o.owner[go]
             flagged = repeated_in_shard(b, low, high)
             begins = np.concatenate([[0], ends[:-1]])
@@ -287,7 +288,7 @@ def find(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     same = lambda x: F.col("d.doc_id").eqNullSafe(F.col(f"{x}.doc_id")) & (F.col("d.hash") == F.col(f"{x}.hash"))
     rest = docs.alias("d").join(small_enough(copies).alias("c"), same("c"), "left_anti").select("doc_id", "hash", "text")
     counts = materialize(count_owners(rest))
-    table = owner_table(counts)
+    table = bits.build(counts, "owner")
     while counts.where(F.col("n") > hot).count() > MOST_HOT:
         hot *= 2
     often = np.array([r.owner for r in counts.where(F.col("n") > hot).select("owner").toLocalIterator()], np.int64).view(np.uint64)

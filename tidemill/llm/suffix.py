@@ -5,22 +5,28 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(text: np.ndarray, depth: int | None = None, bits: int = 63) -> tuple[np.ndarray, np.ndarray]:
+def pack(text: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """Each position's next symbols, as many as fit one number (the second result); 0 stands for the end."""
+    n, h = len(text), max(1, 63 // bits)
+    packed = np.zeros(n, np.int64)
+    for k in range(h):
+        packed <<= bits
+        packed[: max(0, n - k)] += text[k:].astype(np.int64) + 1
+    return packed, h
+
+
+def suffix_array(text: np.ndarray, depth: int | None = None, bits: int = 62, packed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorts all suffixes of an array of integers from 0; a suffix that ends first is smaller.
 
-    The first sort packs as many symbols of so many bits as fit one number. Each round then doubles the sorted depth and
-    touches only slots of groups that are still unsorted. With depth, rounds end once that many symbols are compared.
+    The first sort is by pack(text, bits), where symbols + 1 have so many bits. Each round then doubles the sorted depth
+    and touches only slots of groups that are still unsorted. With depth, rounds end once that many symbols are compared.
     Returns (sa, rank); rank is the first slot of a suffix's group.
     """
-    n = len(text)
+    n, h = len(text), max(1, 63 // bits)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = max(1, 63 // bits)
-    packed = np.zeros(n, np.int64)
-    for k in range(h):  # 0 stands for the end
-        packed <<= bits
-        packed[: n - k] += text[k:].astype(np.int64) + (h > 1)
-    sa = np.argsort(packed, kind="stable").astype(np.int64)
+    packed = pack(text, bits)[0] if packed is None else packed
+    sa = np.argsort(packed)
     ordered = packed[sa]
     first = np.empty(n + 1, bool)
     first[0] = first[n] = True
@@ -48,11 +54,12 @@ def suffix_array(text: np.ndarray, depth: int | None = None, bits: int = 63) ->
     return sa, rank
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int | None = None) -> np.ndarray:
+def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int | None = None, bits: int = 62, packed: np.ndarray | None = None) -> np.ndarray:
     """Kasai's lcp[i] of the suffixes in slots i-1 and i (lcp[0] = 0), in blocks of text positions.
 
     Kasai's bound (a suffix shares at least one symbol less than the suffix before it) holds inside runs whose neighbour
-    moves along by one; such runs are compared once, from their end. With most, longer prefixes count as most.
+    moves along by one; such runs are compared once, from their end, as many symbols at a time as pack() joins. With
+    most, longer prefixes count as most.
     """
     n = len(text)
     lcp = np.zeros(n, np.int64)
@@ -69,15 +76,20 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int | None = None) -
     follows[:-1] = same[:-1] & (before[1:] == before[:-1] + 1)
     plcp = np.zeros(n, np.int64)
     ends = np.flatnonzero(has & ~follows)  # compared directly
+    packed, h = (packed, max(1, 63 // bits)) if packed is not None else pack(text, bits)
     live, length = ends[same[ends]], 0
     cap = n if most is None else most
     while live.size and length < cap:
         a, b = live + length, before[live] + length
-        ok = (a < n) & (b < n)
-        ok[ok] = text[a[ok]] == text[b[ok]]
-        plcp[live[ok]] = length + 1
-        live = live[ok]
-        length += 1
+        inside = (a < n) & (b < n)
+        live, a, b = live[inside], a[inside], b[inside]
+        differ = packed[a] ^ packed[b]
+        equal = np.zeros(len(live), np.int64)
+        for k in range(1, h + 1):
+            equal += differ >> (bits * (h - k)) == 0
+        plcp[live] += equal
+        live = live[equal == h]
+        length += h
     # positions of a run add their distance from its end
     run_end = np.where(follows, n, np.arange(n))
     run_end = np.minimum.accumulate(run_end[::-1])[::-1]
