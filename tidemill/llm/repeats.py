@@ -247,6 +247,7 @@ def merge_shards(runs: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             batch = batch.take(pa.compute.sort_indices(batch, [("doc_id", "ascending"), ("hash", "ascending"), ("start", "ascending")], null_placement="at_start"))
+            doc, own, start = batch.column(0).fill_null(-(1 << 63)).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             raws = batch.column(5).to_pylist()
             sizes = np.array([len(r) for r in raws])
             windows = sizes - LENGTH + 1
@@ -258,9 +259,11 @@ def merge_shards(runs: DataFrame) -> DataFrame:
             # equal windows side by side, the first of them (in the documents' order) in front
             order = np.argsort(h, kind="stable")
             ordered = h[order]
-            again = np.searchsorted(ordered, ordered, side="left") < np.arange(len(h))
+            first = order[np.searchsorted(ordered, ordered, side="left")]
+            place = start[row] + inside
+            elsewhere = (place[order] != place[first]) | (doc[row[order]] != doc[row[first]]) | (own[row[order]] != own[row[first]])  # not the same row again
             flagged = np.zeros(len(h), bool)
-            flagged[order[again]] = True
+            flagged[order[elsewhere]] = True
             # flagged windows of a run that follow each other are one span
             follows = np.concatenate([[False], flagged[:-1] & (row[1:] == row[:-1])])
             s = np.flatnonzero(flagged & ~follows)
@@ -268,7 +271,6 @@ def merge_shards(runs: DataFrame) -> DataFrame:
                 continue
             ends_here = flagged & ~np.concatenate([follows[1:] & flagged[1:], [False]])
             e = np.flatnonzero(ends_here)
-            start = batch.column(2).to_numpy()
             part = pa.array(row[s])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(start[row[s]] + inside[s]), pa.array(start[row[e]] + inside[e] + LENGTH)], _NAMES[:4])
 
