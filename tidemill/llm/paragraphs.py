@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemill.llm import bits, near
 from tidemill.llm.common import materialize, release
 from tidemill.llm.repeats import sliding_min
-from tidemill.llm.shingles import describe, fold, mix, shingle_sets, word_hashes
+from tidemill.llm.shingles import SIZE, describe, fold, fold_lines, mix, shingle_sets, shingles, signatures, word_hashes, word_places
 
 LEAST, REACH, BANDS, ROWS = 20, 4, 12, 4
 NUM, DEN, MATCH = 80, 100, 38
@@ -49,8 +49,10 @@ def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if n < LEAST:
         return np.empty((0, 2), np.int64), np.empty(0, np.uint64)
     two = mix(h[:-1] + h[1:] * _TURN)
-    around = sliding_min(np.concatenate([np.full(REACH, ~np.uint64(0)), two, np.full(REACH, ~np.uint64(0))]), 2 * REACH + 1)
-    edge = np.unique(np.concatenate([[0], np.flatnonzero(two == around), [n]]))
+    none = np.full(REACH, ~np.uint64(0))
+    least = two == sliding_min(np.concatenate([none, two, none]), 2 * REACH + 1)
+    least[1:] &= two[1:] != two[:-1]  # a word that repeats makes no pieces of its own
+    edge = np.unique(np.concatenate([[0], np.flatnonzero(least), [n]]))
     power, back = np.full(n, _TURN), np.full(n, _BACK)
     power[0] = back[0] = 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.multiply.accumulate(power))])
@@ -59,16 +61,20 @@ def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _units(texts: list[str | None], lists: near.Lists):
-    """For each text: (paragraph pairs, piece pairs, piece keys); and Sets and list keys of all paragraphs."""
-    per_text, sets = [], []
+    """For each text: (word hashes, paragraph pairs, piece pairs, piece keys); and the list keys of all paragraphs."""
+    per_text, runs = [], []
     for t in texts:
-        raw = (t or "").encode("utf-8", "surrogatepass")
-        h, start, _ = word_hashes(fold(t)) if raw else (np.empty(0, np.uint64), np.empty(0, np.int64), None)
+        raw = fold_lines(t)
+        h, start, _ = word_hashes(raw.replace(b"\n", b" ")) if raw else (np.empty(0, np.uint64), np.empty(0, np.int64), None)
         pairs = paragraph_words(raw, start)
-        sets += shingle_sets([h[a:b] for a, b in pairs.tolist()])
-        per_text.append((pairs, *pieces(h)))
-    s = describe(sets)
-    return per_text, s, lists.keys(s.signatures) if sets else np.empty((0, len(lists.choices)), np.uint64)
+        if len(pairs):
+            s = shingles(h)
+            runs += [s[a : b - SIZE + 1] for a, b in pairs.tolist()]
+        per_text.append((h, pairs, *pieces(h)))
+    if not runs:
+        return per_text, np.empty((0, len(lists.choices)), np.uint64)
+    at = np.cumsum([0, *map(len, runs[:-1])])
+    return per_text, lists.keys(signatures(np.concatenate(runs), at))
 
 
 def count_keys(docs: DataFrame, lists: near.Lists) -> DataFrame:
@@ -78,8 +84,8 @@ def count_keys(docs: DataFrame, lists: near.Lists) -> DataFrame:
         for batch in batches:
             seen = []
             for at in range(0, len(batch), 256):
-                per_text, _, keys = _units(batch.column(2).slice(at, 256).to_pylist(), lists)
-                seen += [keys.ravel(), *(k for _, _, k in per_text)]
+                per_text, keys = _units(batch.column(2).slice(at, 256).to_pylist(), lists)
+                seen += [keys.ravel(), *(k for *_, k in per_text)]
             key, n = np.unique(np.concatenate(seen), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["owner", "n"])
 
@@ -98,15 +104,16 @@ def repeated_units(docs: DataFrame, table: np.ndarray, lists: near.Lists) -> Dat
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                per_text, s, keys = _units(part.column(2).to_pylist(), lists)
-                doc = np.repeat(np.arange(len(part)), [len(p) for p, _, _ in per_text])
-                pairs = np.concatenate([p for p, _, _ in per_text]).reshape(-1, 2)
+                per_text, keys = _units(part.column(2).to_pylist(), lists)
+                doc = np.repeat(np.arange(len(part)), [len(p) for _, p, _, _ in per_text])
+                pairs = np.concatenate([p for _, p, _, _ in per_text]).reshape(-1, 2)
                 go = np.flatnonzero(bits.holds(shared.value, keys.ravel()).reshape(keys.shape).any(1))
                 if go.size:
-                    binary = [pa.array([x.tobytes() for x in s.signatures[go]], pa.binary()), pa.array([x.tobytes() for x in s.signatures[go].astype(np.uint8)], pa.binary()), pa.array([s.grams[i] for i in go], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[go])), part.column(1).take(pa.array(doc[go])), pa.array(pairs[go, 0]), pa.array(pairs[go, 1]), pa.nulls(len(go), pa.int64()), pa.array(s.sizes[go]), *(pa.array(s.keys[go, k].view(np.int64)) for k in (0, 1)), *binary], names)
-                doc = np.repeat(np.arange(len(part)), [len(k) for _, _, k in per_text])
-                pairs, key = np.concatenate([p for _, p, _ in per_text]), np.concatenate([k for _, _, k in per_text])
+                    s = describe(shingle_sets([per_text[d][0][a:b] for d, (a, b) in zip(doc[go].tolist(), pairs[go].tolist(), strict=True)]))
+                    binary = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (s.signatures, s.signatures.astype(np.uint8))]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[go])), part.column(1).take(pa.array(doc[go])), pa.array(pairs[go, 0]), pa.array(pairs[go, 1]), pa.nulls(len(go), pa.int64()), pa.array(s.sizes), *(pa.array(s.keys[:, k].view(np.int64)) for k in (0, 1)), *binary, pa.array(s.grams, pa.binary())], names)
+                doc = np.repeat(np.arange(len(part)), [len(k) for *_, k in per_text])
+                pairs, key = np.concatenate([p for _, _, p, _ in per_text]), np.concatenate([k for *_, k in per_text])
                 go = np.flatnonzero(bits.holds(shared.value, key))
                 if go.size:
                     none = [pa.nulls(len(go), pa.int64())] * 3 + [pa.nulls(len(go), pa.binary())] * 3
@@ -152,16 +159,18 @@ def find(docs: DataFrame) -> DataFrame:
 def cut(text: str | None, found: list[dict] | None) -> tuple[int, int, list[tuple[int, int]], bytes, list[int]]:
     """(words, words that go, their spans, what is left, documents with earlier copies)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    _, start, end = word_hashes(fold(text)) if raw else (None, np.empty(0, np.int64), np.empty(0, np.int64))
+    if not found:
+        return len(fold(text).split()), 0, [], raw, []
+    start, end = word_places(fold(text))
     gone, earlier = np.zeros(len(start) + 1, bool), set()
     small = np.zeros(len(start) + 1, bool)
-    for f in found or ():
+    for f in found:
         (gone if f["whole"] else small)[f["first"] : f["last"]] = True
     edge = np.flatnonzero(np.diff(np.concatenate([[0], small.astype(np.int8), [0]])))
     for a, b in zip(edge[::2], edge[1::2], strict=True):
         if b - a >= LEAST:
             gone[a:b] = True
-    for f in found or ():
+    for f in found:
         if gone[f["first"]] and f["earlier"] is not None:
             earlier.add(f["earlier"])
     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()

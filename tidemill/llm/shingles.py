@@ -12,6 +12,7 @@ import numpy as np
 
 SIZE, COORDINATES = 5, 64
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
+_FOLD_LINES = _FOLD[:10] + b"\n" + _FOLD[11:]
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _SEED = np.random.Generator(np.random.PCG64(20240229))
@@ -44,12 +45,22 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def fold_lines(text: str | None) -> bytes:
+    """fold(), but line feeds stay."""
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD_LINES) if text else b""
+
+
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each word of folded text."""
+    inside = np.concatenate([[False], np.frombuffer(raw, np.uint8) != 32, [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
+
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word of folded text."""
     b = np.frombuffer(raw, np.uint8)
-    inside = np.concatenate([[False], b != 32, [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
+    start, end = word_places(raw)
     power, back = _power(len(b) + 1)
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(power[:-1] * (b.astype(np.uint64) + np.uint64(1)), out=sums[1:])
@@ -63,6 +74,27 @@ class Sets(NamedTuple):
     grams: list[bytes]  # sorted, 6 bytes each
 
 
+def shingles(w: np.ndarray) -> np.ndarray:
+    """The hash of each SIZE consecutive words, of SIZE word hashes or more."""
+    n = len(w) - SIZE + 1
+    h = w[:n] * _PLACES[0]
+    for k in range(1, SIZE):
+        h += w[k : n + k] * _PLACES[k]
+    return mix(h)
+
+
+def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """COORDINATES uint32 for each run of shingle hashes; runs begin at `at` and may repeat hashes."""
+    out = np.empty((len(at), COORDINATES), np.uint32)
+    for c in range(COORDINATES):
+        x = flat * _TIMES[c]
+        x += _PLUS[c]
+        x ^= x >> np.uint64(32)
+        x *= _P
+        out[:, c] = (np.minimum.reduceat(x, at) >> np.uint64(16)).astype(np.uint32)
+    return out
+
+
 def shingle_sets(word_lists: list[np.ndarray]) -> list[np.ndarray]:
     """The distinct shingle hashes of each list of word hashes, sorted."""
     out = []
@@ -73,10 +105,7 @@ def shingle_sets(word_lists: list[np.ndarray]) -> list[np.ndarray]:
         elif n < SIZE:
             out.append(mix(np.array([np.sum(w * _PLACES[:n]) + np.uint64(n)], np.uint64)))
         else:
-            h = w[: n - SIZE + 1] * _PLACES[0]
-            for k in range(1, SIZE):
-                h = h + w[k : n - SIZE + 1 + k] * _PLACES[k]
-            out.append(np.unique(mix(h)))
+            out.append(np.unique(shingles(w)))
     return out
 
 
@@ -94,19 +123,15 @@ def unpack(raw: bytes) -> np.ndarray:
 def describe(sets: list[np.ndarray]) -> Sets:
     sizes = np.array([len(s) for s in sets], np.int64)
     keys = np.zeros((len(sets), 2), np.uint64)
-    signatures = np.zeros((len(sets), COORDINATES), np.uint32)
+    signed = np.zeros((len(sets), COORDINATES), np.uint32)
     full = np.flatnonzero(sizes)
     if full.size:
         flat = np.concatenate([sets[i] for i in full])
         at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
         keys[full, 0] = np.add.reduceat(mix(flat + np.uint64(1)), at)
         keys[full, 1] = np.add.reduceat(mix(flat ^ _P), at)
-        for c in range(COORDINATES):
-            x = flat * _TIMES[c] + _PLUS[c]
-            x ^= x >> np.uint64(32)
-            x *= _P
-            signatures[full, c] = (np.minimum.reduceat(x, at) >> np.uint64(16)).astype(np.uint32)
-    return Sets(sizes, keys, signatures, [pack(s) for s in sets])
+        signed[full] = signatures(flat, at)
+    return Sets(sizes, keys, signed, [pack(s) for s in sets])
 
 
 def describe_texts(texts: list[str | None]) -> Sets:
