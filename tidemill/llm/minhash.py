@@ -37,8 +37,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component of docs, that with the least doc_id (and then the first); same columns."""
     row = fresh(docs, "row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = find(numbered.select(F.struct("doc_id", row).alias("doc_id"), "text"))
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select(F.col(f"doc_id.{row}").alias(row))
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
-
-
+    found = materialize(find(numbered.select(F.struct("doc_id", row).alias("doc_id"), "text")).select("root", "doc_id"))
+    kept = found.groupBy("root").agg(F.min("doc_id").alias("first"))
+    gone = found.join(kept, "root").where(F.col("doc_id") != F.col("first")).select(F.col(f"doc_id.{row}").alias(row))
+    return numbered.join(near.small_enough(gone), row, "left_anti").select(*docs.columns)
