@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import enter
+
 KEPT, LONG, BATCH, SLICE = 400_000, 200, 5_000, 4_000_000
 
 # a round: token-position rows of every piece that isn't done, the best pair of each, and the list with that pair as one token
@@ -200,6 +202,7 @@ _coders: dict[bytes, Coder] = {}
 
 def coder(ranks: dict[bytes, int], pattern: str, key: bytes) -> Coder:
     """The worker's coder for this vocabulary; workers keep it from task to task."""
+    enter("bpe", _coders.clear)
     if key not in _coders:
         _coders.clear()
         _coders[key] = Coder(ranks, pattern)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_resident: dict[str, Callable[[], None]] = {}
+
+
+def enter(name: str, forget: Callable[[], None] | None = None) -> None:
+    """Called by a task in its worker: what tasks of other names keep there from task to task is forgotten.
+
+    Workers are reused, so a cache would else take memory from whatever runs next.
+    """
+    for other in [x for x in _resident if x != name]:
+        _resident.pop(other)()
+    if forget is not None:
+        _resident[name] = forget
+
+
 _written: dict[str, SparkSession] = {}
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import enter
 from tidemill.llm.suffix import suffix_array
 
 WINDOW = 10
@@ -202,6 +203,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     schema = f"id {dict(source.dtypes)['id']}, n_words long, n_hit long, items array<string>, spans array<array<int>>"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         def flush(ids: list[pa.Array], texts: list[str | None]) -> pa.RecordBatch:
             docs_words = [words_of(t) for t in texts]
             offsets = np.concatenate([[0], np.cumsum([len(w) for w in docs_words])]).astype(np.int64)
@@ -258,6 +260,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     text_at, limit = docs.columns.index(options.get("text_col", "text")), options.get("shard_bytes", SHARD_BYTES)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         for batch in batches:
             column = batch.column(text_at).to_pylist()
             sizes = np.cumsum([len(t or "") for t in column])

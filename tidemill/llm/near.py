@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import materialize, partitions, release
+from tidemill.llm.common import enter, materialize, partitions, release
 from tidemill.llm.shingles import COORDINATES, describe_texts, mix, unpack
 
 RUN, LISTS, SMALL, BLOCK, BLOCK_GRAMS = 6, 40, 32, 1536, 4_000_000
@@ -72,6 +72,7 @@ def sign(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     schema = T.StructType([*source.drop("_text").schema, *T.StructType.fromDDL(SIGNED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
@@ -89,6 +90,7 @@ def postings(classes: DataFrame, lists: Lists) -> DataFrame:
     many = len(lists.choices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
         for batch in batches:
             if len(batch):
                 keys = lists.keys(_signatures(batch.column(2))).view(np.int64)
@@ -119,6 +121,7 @@ def _small_pairs(lists: DataFrame, match: int) -> DataFrame:
     """(a, b), a < b, of the retained pairs in lists (key, cid, low) of up to SMALL classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
         for batch in _groups(batches, 0):
             key, cid, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _signatures(batch.column(2), np.uint8)
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -189,6 +192,7 @@ def _large_links(blocks: DataFrame, match: int, num: int, den: int, choices: np.
     """(a, b) from rows (unit, bi, bj, block, list, cid, sig, grams) with the units' rows side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
         for batch in _groups(batches, 0):
             unit = batch.column(0).to_numpy()
             edges: list[tuple[int, int]] = []
@@ -208,6 +212,7 @@ def _confirm(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of the rows (a, b, x, y) whose sets x and y are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
         for batch in batches:
             keep = [bool(_linked(unpack(x), [unpack(y)], num, den)[0]) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import materialize
+from tidemill.llm.common import enter, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = "id"
@@ -119,6 +119,7 @@ def scan(docs: DataFrame) -> DataFrame:
     types = [pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pii")
         for batch in batches:
             base, seen = [], []
             for t in batch.column(at).to_pylist():
@@ -145,9 +146,10 @@ def score_graph(edges: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPOR
     return confidence
 
 
-def find(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+def find(docs: DataFrame, *, threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """docs with base (spans of the fixed patterns) and learned (spans of kind id), and row, a number for each row."""
-    scanned = materialize(scan(docs).withColumn("row", F.monotonically_increasing_id()))
+    scanned = scan(docs) if keep_text else scan(docs).drop("text")
+    scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()))
     open_rows = F.exists("seen", lambda s: ~s["seed"])
     edges = scanned.select(F.explode("seen").alias("s")).select(F.explode("s.patterns").alias("pattern"), F.col("s.value").alias("value"), F.col("s.seed").alias("seed"))
     sure = score_graph(edges).where(F.col("confidence") >= threshold).select("value")
@@ -161,7 +163,8 @@ def find(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span in text replaced by its kind, as <EMAIL>; overlapping spans become one, of the first's kind."""
-    found = find(docs.select(F.struct(*docs.columns).alias("doc"), "text"))  # so that no name clashes
+    others = [c for c in docs.columns if c.lower() != "text"]
+    found = find(docs.select(F.struct(*others, F.lit(0).alias("_")).alias("doc"), "text"))  # so that no name clashes
     spans = F.array_sort(F.concat("base", "learned"), lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(F.when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0)))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
@@ -184,7 +187,7 @@ def _is(kind: str):
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    found = find(docs.select("doc_id", "text"))
+    found = find(docs.select("doc_id", "text"), keep_text=False)
     place = F.create_map(*[F.lit(x) for k, name in enumerate((*KINDS, LEARNED)) for x in (name, k)])
     every = F.array_sort(F.transform(F.concat("base", "learned"), lambda s: F.struct(s["start"].alias("start"), place[s["kind"]].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))))
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import fresh
+from tidemill.llm.common import enter, fresh
 from tidemill.llm.labelled import fold, logistic, probability, usable
 
 THRESHOLD = 0.3
@@ -101,6 +101,7 @@ def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFra
     at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         m = shared.value
         good, bad = compressor(m.good), compressor(m.bad)
         for batch in batches:
