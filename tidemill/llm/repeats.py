@@ -285,7 +285,7 @@ def find(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     # copies of an earlier document as a whole
     long = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "hash", F.octet_length("text").alias("size"), F.substring(F.md5("text"), 1, 16).alias("check"))
     earliest = long.groupBy("hash", "check").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"), F.countDistinct(F.struct("doc_id")).alias("ids"))
-    again = earliest.where("ids > 1").select("hash", "check", F.col("first.doc_id").alias("first"))
+    again = materialize(earliest.where("ids > 1").select("hash", "check", F.col("first.doc_id").alias("first")))
     copies = materialize(long.join(again, ["hash", "check"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "hash", "size").distinct())
     same = lambda x: F.col("d.doc_id").eqNullSafe(F.col(f"{x}.doc_id")) & (F.col("d.hash") == F.col(f"{x}.hash"))
     rest = docs.alias("d").join(small_enough(copies).alias("c"), same("c"), "left_anti").select("doc_id", "hash", "text")
