@@ -50,8 +50,8 @@ def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty((0, 2), np.int64), np.empty(0, np.uint64)
     two = mix(h[:-1] + h[1:] * _TURN)
     none = np.full(REACH, ~np.uint64(0))
-    least = two == sliding_min(np.concatenate([none, two, none]), 2 * REACH + 1)
-    least[1:] &= two[1:] != two[:-1]  # a word that repeats makes no pieces of its own
+    beside = sliding_min(np.concatenate([none, two, none]), REACH)
+    least = (two < beside[: n - 1]) & (two <= beside[REACH + 1 : REACH + n])  # the leftmost of equals: words that repeat in turn make no pieces
     edge = np.unique(np.concatenate([[0], np.flatnonzero(least), [n]]))
     power, back = np.full(n, _TURN), np.full(n, _BACK)
     power[0] = back[0] = 1
@@ -142,11 +142,11 @@ def find(docs: DataFrame) -> DataFrame:
     classes = materialize(paragraphs.groupBy("k1", "k2").agg(F.min("row").alias("cid"), F.min(_place()).alias("least")))
     roots = near.components(near.links(paragraphs, classes, num=NUM, den=DEN, match=MATCH, lists=lists))
     placed = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    placed = placed.join(placed.groupBy("root").agg(F.min("least").alias("kept")), "root").select("k1", "k2", "kept")
+    placed = materialize(placed.join(placed.groupBy("root").agg(F.min("least").alias("kept")), "root").select("k1", "k2", "kept"))
     again = paragraphs.select("k1", "k2", "doc_id", "hash", "first", "last").join(placed, ["k1", "k2"]).where(_place() > F.col("kept"))
 
     small = units.where("piece IS NOT NULL").select("piece", "doc_id", "hash", "first", "last")
-    least = small.groupBy("piece").agg(F.min(_place()).alias("kept"), F.count("*").alias("n")).where("n > 1").select("piece", "kept")
+    least = materialize(small.groupBy("piece").agg(F.min(_place()).alias("kept"), F.count("*").alias("n")).where("n > 1").select("piece", "kept"))
     later = small.join(least, "piece").where(_place() > F.col("kept"))
 
     columns = ["doc_id", "hash", F.struct("first", "last", F.col("kept.doc_id").alias("earlier"), F.col("whole")).alias("found")]
