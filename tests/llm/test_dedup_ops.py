@@ -163,3 +163,19 @@ def test_paragraph_pairs(spark):
     rows = [(1, " ".join(base)), (2, " ".join(close)), (3, " ".join(far)), (4, "short line\nshort line")]
     got = {r.doc_id: r.n_removed for r in paragraphs.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 90, 3: 0, 4: 0}
+
+
+@pytest.mark.parametrize("hot", [4000, 1])
+def test_paragraph_runs(spark, hot):
+    """Words that repeat in turn are found in other lines and inside one line, whatever their period."""
+    rows = []
+    for period in range(1, 8):
+        slogan = " ".join((prose(900 + period, period).lower().replace("\n", " ").replace(".", "").split() * 60)[:60])
+        rows += [(10 * period + k, f"{prose(100 * period + k, 30)} {slogan} {prose(100 * period + 50 + k, 30)}".replace("\n", " ")) for k in range(3)]
+    rows.append((1000, "buy now " * 400))
+    found = paragraphs.find(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    gone = {r.doc_id: paragraphs.cut(r.text, r.found and [f.asDict() for f in r.found])[1] for r in found}
+    for period in range(1, 8):
+        # a slogan's first copy keeps what doesn't repeat in itself
+        assert all(30 <= gone[10 * period + k] <= 60 + 2 * paragraphs.REACH for k in range(3)), (period, gone)
+    assert 780 <= gone[1000] < 800

@@ -6,7 +6,8 @@ of their 5-word shingles, and of each component of links all but the first parag
 
 A passage that is set into different paragraphs makes no such pair. So each document is also cut, whatever its lines, into
 pieces at words whose hash is the least within REACH words on both sides; passages are cut alike wherever they stand.
-Pieces that are equal (Jaccard 1) to an earlier one go where LEAST words or more of them follow each other.
+Pieces that are equal (Jaccard 1) to an earlier one go where LEAST words or more of them follow each other. Equal pieces
+that follow each other (words that repeat in turn) travel as one row, and keys of more than HOT rows are joined in parts.
 
 Band keys and pieces are counted first; only units with a key that occurs again are sent on, through a table of bits of
 bounded size whose collisions cost work but change nothing.
@@ -29,7 +30,7 @@ from tidemill.llm.common import materialize, release
 from tidemill.llm.repeats import sliding_min
 from tidemill.llm.shingles import SIZE, describe, fold, fold_lines, mix, shingle_sets, shingles, signatures, word_hashes, word_places
 
-LEAST, REACH, BANDS, ROWS = 20, 4, 12, 4
+LEAST, REACH, BANDS, ROWS, HOT = 20, 4, 12, 4, 4000
 NUM, DEN, MATCH = 80, 100, 38
 _TURN = np.uint64(0xA24BAED4963EE407 | 1)
 _BACK = np.uint64(pow(int(_TURN), -1, 1 << 64))
@@ -50,8 +51,7 @@ def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty((0, 2), np.int64), np.empty(0, np.uint64)
     two = mix(h[:-1] + h[1:] * _TURN)
     none = np.full(REACH, ~np.uint64(0))
-    beside = sliding_min(np.concatenate([none, two, none]), REACH)
-    least = (two < beside[: n - 1]) & (two <= beside[REACH + 1 : REACH + n])  # the leftmost of equals: words that repeat in turn make no pieces
+    least = two == sliding_min(np.concatenate([none, two, none]), 2 * REACH + 1)  # each of equals: words that repeat in turn make equal pieces
     edge = np.unique(np.concatenate([[0], np.flatnonzero(least), [n]]))
     power, back = np.full(n, _TURN), np.full(n, _BACK)
     power[0] = back[0] = 1
@@ -92,11 +92,11 @@ def count_keys(docs: DataFrame, lists: near.Lists) -> DataFrame:
     return docs.mapInArrow(run, "owner long, n long").groupBy("owner").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-_SCHEMA = f"doc_id long, hash long, first long, last long, piece long, {near.SIGNED}"
+_SCHEMA = f"doc_id long, hash long, first long, last long, one long, piece long, {near.SIGNED}"
 
 
 def repeated_units(docs: DataFrame, table: np.ndarray, lists: near.Lists) -> DataFrame:
-    """_SCHEMA rows: paragraphs (piece null) and pieces (n null) with a key in the table."""
+    """_SCHEMA rows: paragraphs (piece null) and runs of equal pieces (n null; the first ends at one) with a key in the table."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
 
@@ -111,13 +111,16 @@ def repeated_units(docs: DataFrame, table: np.ndarray, lists: near.Lists) -> Dat
                 if go.size:
                     s = describe(shingle_sets([per_text[d][0][a:b] for d, (a, b) in zip(doc[go].tolist(), pairs[go].tolist(), strict=True)]))
                     binary = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (s.signatures, s.signatures.astype(np.uint8))]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[go])), part.column(1).take(pa.array(doc[go])), pa.array(pairs[go, 0]), pa.array(pairs[go, 1]), pa.nulls(len(go), pa.int64()), pa.array(s.sizes), *(pa.array(s.keys[:, k].view(np.int64)) for k in (0, 1)), *binary, pa.array(s.grams, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[go])), part.column(1).take(pa.array(doc[go])), pa.array(pairs[go, 0]), pa.array(pairs[go, 1]), *[pa.nulls(len(go), pa.int64())] * 2, pa.array(s.sizes), *(pa.array(s.keys[:, k].view(np.int64)) for k in (0, 1)), *binary, pa.array(s.grams, pa.binary())], names)
                 doc = np.repeat(np.arange(len(part)), [len(k) for *_, k in per_text])
                 pairs, key = np.concatenate([p for _, _, p, _ in per_text]), np.concatenate([k for *_, k in per_text])
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if key.size else [])
+                one, pairs = pairs[new, 1], np.stack([pairs[new, 0], pairs[np.append(new[1:], len(key)) - 1, 1] if key.size else pairs[new, 1]], 1)
+                doc, key = doc[new], key[new]
                 go = np.flatnonzero(bits.holds(shared.value, key))
                 if go.size:
                     none = [pa.nulls(len(go), pa.int64())] * 3 + [pa.nulls(len(go), pa.binary())] * 3
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[go])), part.column(1).take(pa.array(doc[go])), pa.array(pairs[go, 0]), pa.array(pairs[go, 1]), pa.array(key[go].view(np.int64)), *none], names)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[go])), part.column(1).take(pa.array(doc[go])), pa.array(pairs[go, 0]), pa.array(pairs[go, 1]), pa.array(one[go]), pa.array(key[go].view(np.int64)), *none], names)
 
     return docs.mapInArrow(run, _SCHEMA)
 
@@ -126,7 +129,7 @@ def _place():
     return F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash", "first")
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     """docs (doc_id, text) with hash, and found: array of (first, last, earlier, whole) of repeated words.
 
     earlier is the document with the first copy; whole is true of paragraphs.
@@ -145,9 +148,15 @@ def find(docs: DataFrame) -> DataFrame:
     placed = materialize(placed.join(placed.groupBy("root").agg(F.min("least").alias("kept")), "root").select("k1", "k2", "kept"))
     again = paragraphs.select("k1", "k2", "doc_id", "hash", "first", "last").join(placed, ["k1", "k2"]).where(_place() > F.col("kept"))
 
-    small = units.where("piece IS NOT NULL").select("piece", "doc_id", "hash", "first", "last")
-    least = materialize(small.groupBy("piece").agg(F.min(_place()).alias("kept"), F.count("*").alias("n")).where("n > 1").select("piece", "kept"))
-    later = small.join(least, "piece").where(_place() > F.col("kept"))
+    small = units.where("piece IS NOT NULL").select("piece", "doc_id", "hash", "first", "last", "one")
+    least = small.groupBy("piece").agg(F.min(_place()).alias("kept"), F.count("*").alias("n"), F.max(F.col("one") < F.col("last")).alias("again"))
+    least = materialize(least.where("n > 1 OR again").select("piece", "kept", F.ceil(F.col("n") / hot).alias("parts")))
+    # a piece of very many rows is dealt over parts of hot rows; their number is bounded by that of all rows over hot
+    small = small.join(F.broadcast(least.where("parts > 1").select("piece", "parts")), "piece", "left")
+    small = small.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "hash", "first"), "parts"), F.lit(0))).drop("parts")
+    least = least.select("piece", "kept", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    # of the run with the first copy, all but the first piece repeat
+    later = small.join(least, ["piece", "part"]).withColumn("first", F.when(_place() > F.col("kept"), F.col("first")).otherwise(F.col("one"))).where("first < last")
 
     columns = ["doc_id", "hash", F.struct("first", "last", F.col("kept.doc_id").alias("earlier"), F.col("whole")).alias("found")]
     every = again.withColumn("whole", F.lit(True)).select(*columns).unionByName(later.withColumn("whole", F.lit(False)).select(*columns))
