@@ -252,3 +252,13 @@ def test_toxicity(spark, documents, nothing, labels):
     assert all(r.score < 0.5 for r in toxicity.digest(documents, labels.limit(0)).collect())
     few = toxicity.fit(docs, marks, most=50)
     assert 0 < len(few.grams) <= 50
+
+
+def test_toxicity_rare_groups(spark, documents):
+    """No letter group is left out, however few of them the workers hold."""
+    docs, marks = labelled(spark, 3, lambda t: t + " you xoxic zumbag")
+    every = docs.unionByName(documents.selectExpr("doc_id + 10000 AS doc_id", "text"))
+    few, many = toxicity.fit(docs, marks, most=50), toxicity.fit(docs, marks)
+    assert few.rest[0].count() == len(many.grams) > 50 and (few.a, few.b) == (many.a, many.b)
+    got, want = ([(r.doc_id, r.toxic_score) for r in toxicity.score(every, m).collect()] for m in (few, many))
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -7,8 +7,9 @@ for or against it. A text's toxic and ordinary log-likelihoods are compared word
 the PEAK words that speak most for the toxic model, so neither a long text's ordinary words hide an insult nor does
 length add up. A logistic curve turns that into a probability.
 
-The counts are summed by Spark. The table of letter groups that goes to the workers holds MOST_GRAMS at most: should
-there be more, the least count that a group needs to be kept rises until it fits, and rarer ones are left to the backoff.
+The counts are summed and turned into ratios by Spark, for every letter group. The table of ratios that goes to the
+workers holds MOST_GRAMS at most; should there be more, it has the most frequent groups, and words with others get
+theirs by joins. Where a ratio is held changes no score.
 
 Defined cases: null texts, and texts without letters, get the curve's value at 0; without toxic labels the score is 0;
 contradicting labels of one id count as 1; runs of more than LONGEST letters are cut.
@@ -17,7 +18,6 @@ contradicting labels of one id count as 1; runs of more than LONGEST letters are
 from __future__ import annotations
 
 import heapq
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, release
+from tidemill.llm.common import fresh, materialize, release
 from tidemill.llm.labelled import fold, join_labels, logistic, usable
 
 ORDER, PEAK, LONGEST, DISCOUNT = 5, 3, 40, 0.75
@@ -46,6 +46,7 @@ class Model(NamedTuple):
     contexts: dict[str, float]  # of any letter that neither class has after this context
     a: float
     b: float
+    rest: tuple[DataFrame, DataFrame] | None = None  # (gram, ratio) and (context, ratio) of all, where grams hasn't all
 
 
 def count_words(labelled: DataFrame) -> DataFrame:
@@ -77,42 +78,29 @@ def count_grams(words: DataFrame) -> DataFrame:
     return grams.groupBy("gram").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("ordinary"))
 
 
-def log_ratios(grams: list[tuple[str, int, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """Model.grams and Model.contexts."""
-    totals, types = ({}, {}), ({}, {})
-    for g, *n in grams:
-        for k in (0, 1):
-            if n[k]:
-                totals[k][g[:-1]] = totals[k].get(g[:-1], 0) + n[k]
-                types[k][g[:-1]] = types[k].get(g[:-1], 0) + 1
-    lower: dict[int, tuple[Counter, Counter, Counter]] = {}  # by order: continuation counts, and their sums and types by context
-    above = {g for g, *_ in grams}
-    for order in range(ORDER - 1, 0, -1):
-        here = Counter(g[1:] for g in above)
-        sums, kinds = Counter(), Counter()
-        for g, n in here.items():
-            sums[g[:-1]] += n
-            kinds[g[:-1]] += 1
-        lower[order], above = (here, sums, kinds), set(here)
-    letters = max(1, len(lower[1][0]))
-    known: dict[str, float] = {}
-
-    def backoff(g: str) -> float:
-        if (p := known.get(g)) is None:
-            here, sums, kinds = lower[len(g)]
-            below = backoff(g[1:]) if len(g) > 1 else 1 / letters
-            total = sums.get(g[:-1], 0)
-            p = known[g] = (max(here[g] - DISCOUNT, 0) + DISCOUNT * kinds[g[:-1]] * below) / total if total else below
-        return p
-
-    def weight(k: int, context: str) -> float:
-        return DISCOUNT * types[k][context] / totals[k][context] if context in totals[k] else 1.0
-
-    ratios = {}
-    for g, *n in grams:
-        p = [(max(n[k] - DISCOUNT, 0) / totals[k][g[:-1]] if g[:-1] in totals[k] else 0) + weight(k, g[:-1]) * backoff(g[1:]) for k in (0, 1)]
-        ratios[g] = math.log(p[0] / p[1])
-    return ratios, {c: math.log(weight(0, c) / weight(1, c)) for c in totals[0].keys() | totals[1].keys()}
+def log_ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, ratio, n) and (context, ratio), as Model.grams and Model.contexts."""
+    context, below = F.expr("substr(gram, 1, length(gram) - 1)").alias("context"), F.expr("substr(gram, 2)").alias("below")
+    held = lambda n: F.greatest(n - DISCOUNT, F.lit(0.0))
+    orders, above = [], grams
+    for _ in range(ORDER - 1):  # continuation counts: how many letters stand before
+        above = materialize(above.groupBy(below.alias("gram")).agg(F.count("*").alias("n")))
+        orders.append(above)
+    letters, total = orders[-1].agg(F.count("*"), F.sum("n")).first()
+    backoff = orders[-1].select("gram", ((held(F.col("n")) + DISCOUNT * letters / max(1, letters)) / F.lit(total or 1)).alias("p"))
+    for here in reversed(orders[:-1]):
+        sums = here.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        joined = here.select("gram", "n", context, below).join(sums, "context").join(backoff.select(F.col("gram").alias("below"), "p"), "below")
+        backoff = materialize(joined.select("gram", ((held(F.col("n")) + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("total")).alias("p")))
+    classes = ("toxic", "ordinary")
+    sums = grams.groupBy(context).agg(*[x for c in classes for x in (F.sum(c).alias(f"total_{c}"), F.count_if(F.col(c) > 0).alias(f"types_{c}"))])
+    weight = [F.when(F.col(f"total_{c}") > 0, DISCOUNT * F.col(f"types_{c}") / F.col(f"total_{c}")).otherwise(1.0) for c in classes]
+    joined = grams.select("gram", *classes, context, below).join(sums, "context").join(backoff.select(F.col("gram").alias("below"), "p"), "below")
+    p = [F.when(F.col(f"total_{c}") > 0, held(F.col(c)) / F.col(f"total_{c}")).otherwise(0.0) + w * F.col("p") for c, w in zip(classes, weight, strict=True)]
+    ratios = materialize(joined.select("gram", F.log(p[0] / p[1]).alias("ratio"), (F.col("toxic") + F.col("ordinary")).alias("n")))
+    contexts = materialize(sums.select("context", F.log(weight[0] / weight[1]).alias("ratio")))
+    release(*orders)
+    return ratios, contexts
 
 
 class Scorer:
@@ -124,6 +112,11 @@ class Scorer:
         self.grams, self.contexts = grams, contexts
         self.seen: dict[str, float] = {}
 
+    def known(self, w: str) -> bool:
+        """Whether grams has all letter groups of the word."""
+        spelled = "^" * (ORDER - 1) + w + "$"
+        return all(spelled[i : i + ORDER] in self.grams for i in range(len(w) + 1))
+
     def word(self, w: str) -> float:
         spelled, total = "^" * (ORDER - 1) + w + "$", 0.0
         for i in range(len(w) + 1):
@@ -143,34 +136,89 @@ class Scorer:
         return sum(heapq.nlargest(PEAK, map(seen.__getitem__, words))) / PEAK
 
 
-def _raw(docs: DataFrame, shared) -> DataFrame:
+def _raw(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column toxic_raw."""
     docs = docs.drop("toxic_raw")
+    shared = docs.sparkSession.sparkContext.broadcast((model.grams, model.contexts))
+    if model.rest is not None:
+        return _raw_joined(docs, shared, *model.rest)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value.grams, shared.value.contexts)
+        scorer = Scorer(*shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scorer.text(t) for t in batch.column(at).to_pylist()], pa.float64())], [*batch.schema.names, "toxic_raw"])
 
     return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("toxic_raw")).schema)
 
 
+def _raw_joined(docs: DataFrame, shared, ratios: DataFrame, contexts: DataFrame) -> DataFrame:
+    """_raw by joins for the words with letter groups that the workers don't hold."""
+    row = fresh(docs, "row")
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The largest values of the words that are held, and the other words."""
+        scorer, held = Scorer(*shared.value), {}
+        for batch in batches:
+            out: list[tuple] = []
+            for r, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(held) > Scorer.KEPT:
+                    held.clear()
+                values = []
+                for w, n in Counter(words_of(text)).items():
+                    if w not in held:
+                        held[w] = scorer.word(w) if scorer.known(w) else None
+                    if held[w] is None:
+                        out.append((r, w, min(n, PEAK), None))
+                    else:
+                        values += [held[w]] * min(n, PEAK)
+                out += [(r, None, 1, v) for v in heapq.nlargest(PEAK, values)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.float64()), strict=True)], ["row", "word", "n", "value"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = shared.value[0]
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                words = batch.column(0).slice(at, 1000).to_pylist()
+                out = [(w, i, g, grams.get(g)) for w in words for s in ("^" * (ORDER - 1) + w + "$",) for i in range(len(w) + 1) for g in (s[i : i + ORDER],)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.float64()), strict=True)], ["word", "i", "gram", "value"])
+
+    used = materialize(docs.select(F.col(row).alias("row"), "text").mapInArrow(split, "row long, word string, n long, value double"))
+    spelled = materialize(used.where("word IS NOT NULL").select("word").distinct().mapInArrow(spell, "word string, i long, gram string, value double"))
+    missing = spelled.where("value IS NULL").select("word", "i", "gram", F.expr("substr(gram, 1, length(gram) - 1)").alias("context"))
+    missing = missing.join(ratios.select("gram", "ratio"), "gram", "left").join(contexts.withColumnRenamed("ratio", "other"), "context", "left").select("word", "i", F.coalesce("ratio", "other", F.lit(0.0)).alias("value"))
+    letters = spelled.where("value IS NOT NULL").select("word", "i", "value").unionByName(missing)
+    add = lambda s, x: s + x
+    # in the order of the letters, so that sums are the workers' to the last bit
+    words = letters.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("all")).select("word", F.aggregate(F.col("all.value"), F.lit(0.0), add).alias("value"))
+    values = used.where("word IS NULL").select("row", "n", "value").unionByName(used.where("word IS NOT NULL").select("row", "n", "word").join(words, "word").select("row", "n", "value"))
+    every = F.flatten(F.collect_list(F.array_repeat("value", F.col("n").cast("int"))))
+    raw = values.groupBy("row").agg(F.slice(F.sort_array(every, asc=False), 1, PEAK).alias("best")).select(F.col("row").alias(row), (F.aggregate("best", F.lit(0.0), add) / PEAK).alias("toxic_raw"))
+    return docs.join(raw, row, "left").withColumn("toxic_raw", F.coalesce("toxic_raw", F.lit(0.0))).drop(row)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_GRAMS) -> Model:
     learn = usable(labels, "toxic")
     words = count_words(join_labels(docs.select("doc_id", "text"), learn.where("fold <> 4").select("doc_id", "y")))
     grams = materialize(count_grams(words))
+    if grams.where("toxic > 0").isEmpty():
+        release(grams)
+        return Model({}, {}, 0.0, -60.0)
+    ratios, contexts = log_ratios(grams)
+    release(grams)
     least = 1
-    while grams.where(F.col("toxic") + F.col("ordinary") >= least).count() > most:
+    while ratios.where(F.col("n") >= least).count() > most:
         least *= 2
-    found = [(r.gram, r.toxic, r.ordinary) for r in grams.where(F.col("toxic") + F.col("ordinary") >= least).toLocalIterator()]
-    release(grams)
-    if not any(n for _, n, _ in found):
-        return Model({}, {}, 0.0, -60.0)
-    model = Model(*log_ratios(found), 1.0, 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    tune = _raw(join_labels(docs.select("doc_id", "text"), learn.where("fold = 4").select("doc_id", "y")).select("y", "text"), shared)
-    bins = tune.groupBy("y", F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "toxic_raw")), 2).alias("x")).count().collect()  # 8002 at most
+    local = {r.gram: r.ratio for r in ratios.where(F.col("n") >= least).toLocalIterator()}
+    if least > 1:
+        model = Model(local, {}, 1.0, 0.0, (ratios, contexts))
+    else:
+        model = Model(local, {r.context: r.ratio for r in contexts.toLocalIterator()}, 1.0, 0.0)
+        release(ratios, contexts)
+    tune = _raw(join_labels(docs.select("doc_id", "text"), learn.where("fold = 4").select("doc_id", "y")).select("y", "text"), model)
+    bins = sorted(tune.groupBy("y", F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "toxic_raw")), 2).alias("x")).count().collect())  # 8002 at most
     if len({r.y for r in bins}) < 2:
         return model._replace(a=4.0, b=-4.0)
     a, b = logistic(np.array([r.x for r in bins]), np.array([r.y for r in bins], float), np.array([r["count"] for r in bins], float))
@@ -179,9 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_GRAMS) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column toxic_score (any column of that name is replaced)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     line = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("toxic_raw") * model.a + model.b))
-    return _raw(docs.drop("toxic_score"), shared).withColumn("toxic_score", 1 / (1 + F.exp(-line))).drop("toxic_raw")
+    return _raw(docs.drop("toxic_score"), model).withColumn("toxic_score", 1 / (1 + F.exp(-line))).drop("toxic_raw")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
