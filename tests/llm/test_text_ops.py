@@ -262,3 +262,22 @@ def test_toxicity_rare_groups(spark, documents):
     assert few.rest[0].count() == len(many.grams) > 50 and (few.a, few.b) == (many.a, many.b)
     got, want = ([(r.doc_id, r.toxic_score) for r in toxicity.score(every, m).collect()] for m in (few, many))
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_identifiers_of_any_shape(spark):
+    """Context decides on short and digit-only values too; failed cards and values at many weak places are none."""
+    rnd = random.Random(5)
+    shapes = [lambda: f"{rnd.randrange(100, 999)}-{rnd.randrange(10, 99)}-{rnd.randrange(1000, 9999)}", lambda: f"{rnd.randrange(10**9, 10**10)}", lambda: f"555-{rnd.randrange(100, 999)}-{rnd.randrange(1000, 9999)}", lambda: f"X{rnd.randrange(10**6, 10**7)}"]
+    failed = [c for c in map(str, range(4111111111111111, 4111111111111140)) if not pii.luhn(c)]
+    rows, ids = [], set()
+    for k in range(240):
+        who = f"user{k}@mail.example.org"
+        if k % 3 == 0:
+            who = failed[k // 12 % len(failed)] if k % 12 == 0 else shapes[k // 3 % 4]()
+            ids |= {who} - set(failed)
+        rows.append((k, f"{prose(k, 5)} contact: {who} please."))
+    for k in range(300):  # each word before has 5 addresses among 25 other values, and the same 7
+        word = f"word{chr(97 + k % 12)}"
+        rows.append((1000 + k, f"{word} a{k}@b.org x{k} {word} {k * 31 + 100000} y" if k // 12 < 5 else f"{word} {k * 31 + 100000} y{k} {word} 7 z"))
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.text[s.start : s.end] for r in found for s in r.learned} == ids

@@ -1,12 +1,12 @@
 """Personal data: fixed patterns first, then bootstrapped contextual extraction of identifiers that they don't know.
 
 What the fixed patterns find (emails, IP addresses, card and phone numbers) are the seeds, with confidence 1. Every
-other token that holds a digit and CANDIDATE letters, digits and signs or more is a candidate. Both kinds induce lexical
+other token that holds a digit is a candidate, whatever its length. Both kinds induce lexical
 patterns: the word before, the word after, the two together, and the key that a token carries or follows
 (`key=value`, `key: value`). Patterns and instances form a graph that Spark scores by turns: a pattern's confidence is
-its instances' mean confidence (against PRIOR doubtful ones), an instance's that of its best patterns (1 - the product of
-their doubts, of those with support by SUPPORT different seeds at least). Candidates shaped like a fixed pattern that failed its
-check are refuted: they stay at 0 and speak against their patterns. After ROUNDS rounds, candidates of confidence
+its instances' mean confidence (against PRIOR doubtful ones), an instance's that of its BEST best patterns (1 - the product of
+their doubts, of those with support by SUPPORT different seeds at least). Candidates of a card's or an address's full
+shape and length that failed its check are refuted: they stay at 0 and speak against their patterns. After ROUNDS rounds, candidates of confidence
 THRESHOLD and more are spans of kind `id`.
 
 Defined cases: null texts are empty; rows that repeat each count as evidence once per row, but support counts different
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,7 @@ from tidemill.llm.common import enter, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = "id"
-ROUNDS, SUPPORT, PRIOR, THRESHOLD, CANDIDATE = 3, 5, 4.0, 0.9, 10
+ROUNDS, SUPPORT, PRIOR, THRESHOLD, BEST = 3, 5, 4.0, 0.9, 4
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,7 +37,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S*[0-9]\S*")
-_REFUTED = re.compile(r"[0-9](?:[ -]?[0-9])+|[0-9]+(?:\.[0-9]+){3}|\+?[0-9 ().-]+")  # digits that are no card, address or phone number
+_REFUTED = re.compile(r"[0-9](?:[ -]?[0-9]){11,18}|[0-9]+(?:\.[0-9]+){3}")  # what would be a card or an address, but for its check
 _EDGE = "\"'`.,;:!?()[]{}<>|*"
 
 
@@ -104,7 +104,7 @@ def occurrences(text: str, base: list[Span]) -> list[tuple[int, int, str, bool,
             start += 1
         while end > start and text[end - 1] in _EDGE:
             end -= 1
-        if CANDIDATE <= end - start <= 200 and not any(s.start < end and start < s.end for s in base) and any("0" <= c <= "9" for c in text[start:end]):
+        if start < end and not any(s.start < end and start < s.end for s in base) and any("0" <= c <= "9" for c in text[start:end]):
             found.append((start, end, text[start:end], False, _patterns(text, start, end)))
     return found
 
@@ -138,10 +138,13 @@ def score_graph(edges: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPOR
     edges = materialize(edges.join(able, "pattern"))
     edges = edges.withColumn("refuted", ~F.col("seed") & F.col("value").rlike(f"^(?:{_REFUTED.pattern})$"))
     confidence = edges.select("value", F.col("seed").cast("double").alias("confidence")).groupBy("value").agg(F.max("confidence").alias("confidence"))
+    best = Window.partitionBy("value").orderBy(F.desc("trust"), "pattern")
     for _ in range(rounds):
         patterns = edges.join(confidence, "value").groupBy("pattern").agg((F.sum("confidence") / (F.count("*") + prior)).alias("trust"))
         doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))))
-        scored = edges.join(patterns, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), F.max("refuted").alias("refuted"), (1 - F.exp(doubt)).alias("found"))
+        # only BEST of them, as many as a place has: a short value stands at so many that their doubts would vanish
+        ranked = edges.join(patterns, "pattern").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= BEST)
+        scored = ranked.groupBy("value").agg(F.max("seed").alias("seed"), F.max("refuted").alias("refuted"), (1 - F.exp(doubt)).alias("found"))
         confidence = materialize(scored.select("value", F.when(F.col("seed"), 1.0).when(F.col("refuted"), 0.0).otherwise(F.col("found")).alias("confidence")))
     return confidence
 
