@@ -143,7 +143,7 @@ def find(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
 
     paragraphs = units.where("piece IS NULL")
     classes = materialize(paragraphs.groupBy("k1", "k2").agg(F.min("row").alias("cid"), F.min(_place()).alias("least")))
-    roots = near.components(near.links(paragraphs, classes, num=NUM, den=DEN, match=MATCH, lists=lists))
+    roots = near.connected(paragraphs, classes, num=NUM, den=DEN, match=MATCH, lists=lists, need=1)
     placed = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     placed = materialize(placed.join(placed.groupBy("root").agg(F.min("least").alias("kept")), "root").select("k1", "k2", "kept"))
     again = paragraphs.select("k1", "k2", "doc_id", "hash", "first", "last").join(placed, ["k1", "k2"]).where(_place() > F.col("kept"))
