@@ -3,14 +3,16 @@
 A text is cut by the tokenizer's pattern; each different piece is encoded once and remembered (two generations of up to
 KEPT pieces, so memory is bounded). New pieces go to a recursive query: token-position rows join the merge table with
 their right neighbour, and each round contracts the leftmost pair of least rank of every piece, until none has a pair
-left. Tokens decode to bytes by an aggregation ordered by position. Pieces that are whole tokens take that
-token, as the library does; those of more than LONG bytes, which would take as many rounds as they have tokens, are
-contracted by a heap in the same order.
+left. Pieces that are whole tokens take that token, as the library does; those of more than LONG bytes, which would take
+as many rounds as they have tokens, are contracted by a heap in the same order. The ids of each document are then decoded:
+token-position rows join the vocabulary and an aggregation ordered by position puts their bytes together.
 
 Texts of more than SLICE characters are cut before a line feed that follows a printing character, where no piece can
 span, so memory doesn't grow with a text's length.
 
-Defined cases: null texts are empty and have no tokens; a merge file that lacks some single byte raises ValueError.
+Defined cases: null texts are empty and have no tokens; a merge file that lacks some single byte raises ValueError; rows
+that repeat each give a row; empty tables give empty results; columns of docs stay, whatever their names: where one is
+called as a result is, the result gets underscores (common.fresh).
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import enter
+from tidemill.llm.common import enter, fresh
 
-KEPT, LONG, BATCH, SLICE = 400_000, 200, 5_000, 4_000_000
+KEPT, LONG, BATCH, SLICE, DECODED = 400_000, 200, 5_000, 4_000_000, 2_000_000
 
 # a round: token-position rows of every piece that isn't done, the best pair of each, and the list with that pair as one token
 ENCODE = """
@@ -41,11 +43,10 @@ WITH RECURSIVE steps AS (
         FROM (SELECT piece, tokens, unnest(tokens[:-2]) AS a, unnest(tokens[2:]) AS b, unnest(range(1, len(tokens))) AS pos FROM steps)
         JOIN merges USING (a, b) GROUP BY piece)
 ), done AS (SELECT piece, min_by(tokens, len(tokens)) AS tokens FROM steps GROUP BY piece)
-SELECT piece, list(token ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS decoded
-FROM (SELECT piece, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM done) JOIN vocabulary ON token = id GROUP BY piece
+SELECT piece, tokens AS ids FROM done
 """
 
-DECODE = "SELECT row, string_agg(hex, '' ORDER BY pos) FROM tokens JOIN vocabulary ON token = id GROUP BY row"
+DECODE = "SELECT row, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM tokens JOIN vocabulary ON token = id GROUP BY row"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -98,9 +99,8 @@ class Coder:
             raise ValueError(f"no token for bytes {missing}")
         self.ranks, self.split = ranks, Splitter(pattern)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.bytes_of = {r: t for t, r in ranks.items()}
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         for name, columns, rows in (("merges", ("a", "b", "rank"), pairs), ("vocabulary", ("id", "hex"), [(r, t.hex()) for t, r in ranks.items()])):
@@ -142,10 +142,9 @@ class Coder:
                 continue
             raw = p.encode("utf-8", "surrogatepass")
             if (r := self.ranks.get(raw)) is not None:
-                self.young[p] = (r.to_bytes(4, "little"), raw)
+                self.young[p] = r.to_bytes(4, "little")
             elif len(raw) > LONG:
-                ids = self._heap(raw)
-                self.young[p] = (b"".join(i.to_bytes(4, "little") for i in ids), b"".join(map(self.bytes_of.__getitem__, ids)))
+                self.young[p] = np.array(self._heap(raw), "<u4").tobytes()
             else:
                 todo.append((p, raw))
         for at in range(0, len(todo), BATCH):
@@ -159,11 +158,11 @@ class Coder:
             self.db.unregister("bytes_of_pieces")
             ids = found.column("ids").combine_chunks()
             flat, ends = np.asarray(ids.flatten(), dtype="<u4").tobytes(), (np.asarray(ids.offsets) * 4).tolist()
-            for k, decoded, a, z in zip(found.column("piece").to_pylist(), found.column("decoded").to_pylist(), ends[:-1], ends[1:], strict=True):
-                self.young[some[k][0]] = (flat[a:z], bytes.fromhex(decoded))
+            for k, a, z in zip(found.column("piece").to_pylist(), ends[:-1], ends[1:], strict=True):
+                self.young[some[k][0]] = flat[a:z]
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[tuple[bytes, bytes]]]:
-        """For each text, pairs (ids as little-endian unsigned 32-bit integers, their decoded bytes), one for each slice."""
+    def encode(self, texts: list[str | None]) -> Iterator[list[bytes]]:
+        """For each text, the ids of its slices as little-endian unsigned 32-bit integers."""
         for t in texts:
             out = []
             for part in self.split.slices(t or ""):
@@ -173,8 +172,7 @@ class Coder:
                 known = self.young
                 if not all(map(known.__contains__, pieces)):
                     self.learn(dict.fromkeys(pieces))
-                pairs = list(map(known.__getitem__, pieces))
-                out.append((b"".join([a for a, _ in pairs]), b"".join([b for _, b in pairs])))
+                out.append(b"".join(map(known.__getitem__, pieces)))
             yield out
 
     def prepare(self, texts: list[str | None]) -> None:
@@ -188,13 +186,23 @@ class Coder:
                 new = {}
         self.learn(new)
 
-    def decode(self, rows: list[list[int] | None]) -> list[bytes]:
-        flat = [t for r in rows for t in r or ()]
-        sizes = [len(r or ()) for r in rows]
-        self.db.register("tokens", pa.table([pa.array([k for k, n in enumerate(sizes) for _ in range(n)], pa.int64()), pa.array([i for n in sizes for i in range(n)], pa.int64()), pa.array(flat, pa.int32())], ["row", "pos", "token"]))
-        found = dict(self.db.execute(DECODE).fetchall())
-        self.db.unregister("tokens")
-        return [bytes.fromhex(found.get(k, "")) for k in range(len(rows))]
+    def decode(self, parts: list[bytes]) -> Iterator[bytes]:
+        """The bytes of each list of ids (little-endian unsigned 32-bit integers), up to DECODED ids or one list at a time."""
+        at = 0
+        while at < len(parts):
+            end, size = at + 1, len(parts[at])
+            while end < len(parts) and size + len(parts[end]) <= 4 * DECODED:
+                size += len(parts[end])
+                end += 1
+            some = parts[at:end]
+            ids = np.frombuffer(b"".join(some), "<u4").astype(np.int32)
+            row = np.repeat(np.arange(len(some), dtype=np.int32), [len(p) // 4 for p in some])
+            self.db.register("tokens", pa.table([pa.array(row), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)], ["row", "pos", "token"]))
+            found = self.db.sql(DECODE).to_arrow_table()
+            self.db.unregister("tokens")
+            by_row = dict(zip(found.column("row").to_pylist(), found.column("bytes").to_pylist(), strict=True))
+            yield from (by_row.get(k, b"") for k in range(len(some)))
+            at = end
 
 
 _coders: dict[bytes, Coder] = {}
@@ -228,42 +236,43 @@ def _groups(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[tup
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with n_tokens long, ids (binary, little-endian unsigned 32-bit integers) and decoded_sha256 string."""
-    docs = docs.drop("n_tokens", "ids", "decoded_sha256")
     shared, at = _shared(docs, path, pattern), docs.columns.index("text")
-    schema = docs.select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids"), F.lit("").alias("decoded_sha256")).schema
+    names = [fresh(docs, c) for c in ("n_tokens", "ids", "decoded_sha256")]
+    schema = docs.select("*", *[F.lit(x).alias(c) for c, x in zip(names, (0, b"", ""), strict=True)]).withColumn(names[0], F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(*shared.value)
         for batch in batches:
             for begin, texts in _groups(batch, at):
                 c.prepare(texts)
-                ids, decoded = [], []
-                for slices in c.encode(texts):
-                    ids.append(b"".join([a for a, _ in slices]))
+                slices = list(c.encode(texts))
+                decoded = c.decode([ids for parts in slices for ids in parts])
+                hashes = []
+                for parts in slices:
                     h = hashlib.sha256()
-                    for _, raw in slices:
-                        h.update(raw)
-                    decoded.append(h.hexdigest())
+                    for _ in parts:
+                        h.update(next(decoded))
+                    hashes.append(h.hexdigest())
+                ids = [b"".join(parts) for parts in slices]
                 part = batch.slice(begin, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded)], [*part.schema.names, "n_tokens", "ids", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(hashes, pa.string())], [*part.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, pattern: str, *, ids: str = "ids") -> DataFrame:
-    """rows with a column decoded (binary) from ids (binary as encode() makes them)."""
-    rows = rows.drop("decoded")
-    shared, at = _shared(rows, path, pattern), rows.columns.index(ids)
+    """rows with a column decoded (binary) from ids (binary as encode() makes them; null: none)."""
+    shared, at, name = _shared(rows, path, pattern), rows.columns.index(ids), fresh(rows, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(*shared.value)
         for batch in batches:
             for k in range(0, len(batch), 64):
                 part = batch.slice(k, 64)
-                tokens = [memoryview(i or b"").cast("I").tolist() for i in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c.decode(tokens), pa.binary())], [*part.schema.names, "decoded"])
+                decoded = list(c.decode([i or b"" for i in part.column(at).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, name])
 
-    return rows.mapInArrow(run, rows.select("*", F.lit(b"").alias("decoded")).schema)
+    return rows.mapInArrow(run, rows.select("*", F.lit(b"").alias(name)).schema)
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
