@@ -1,13 +1,15 @@
 """Quality classifier by compression: one zstandard dictionary of good texts, one of bad.
 
 A text is cut into blocks of BLOCK bytes and each block is compressed with either dictionary. The difference of the two
-sizes by byte of text is calibrated to a probability by a logistic curve. The dictionaries come from a bounded sample of
-labelled rows (SAMPLE_ROWS for each class and purpose, those with the smallest hash of the id, and of each up to
-SAMPLE_PIECES pieces of PIECE characters spread over the text); the curve from rows of another fold. Rows of fold 0
-teach nothing. Everything that is scored is scored over its whole text.
+sizes by byte of text is calibrated to a probability by a logistic curve. The dictionaries are trained by one task on a
+bounded sample of labelled rows: SAMPLE_ROWS of each class at most, those with the smallest hash of the id (ties: the
+id), of which a row that would take the sample past SAMPLE_BYTES stays out; rows are read whole. The curve comes from all
+rows of another fold. Rows of fold 0 teach nothing. Everything that is scored is scored over its whole text.
 
 Defined cases: null and empty texts have difference 0 and get the curve's value there; with one class only, the score is
-that class; without any labels it is 1 (nothing is known to be bad); contradicting labels of one id count as 1.
+that class; without any labels it is 1 (nothing is known to be bad); contradicting labels of one id count as 1; a
+labelled row that repeats counts each time; empty tables give empty results; other columns of docs stay, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import enter, fresh
-from tidemill.llm.labelled import fold, logistic, probability, usable
+from tidemill.llm.labelled import fold, join_labels, logistic, usable
 
 THRESHOLD = 0.3
-SAMPLE_ROWS, SAMPLE_PIECES, PIECE = 3000, 8, 1024
+SAMPLE_ROWS, SAMPLE_BYTES, PIECE = 3000, 32 << 20, 1024
 DICTIONARY, LEVEL, BLOCK = 256 << 10, 3, 1024
 
 
@@ -66,38 +68,46 @@ def _dictionary(pieces: list[bytes]) -> bytes:
         return b"".join(pieces)[-DICTIONARY:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> Model:
-    learn = usable(labels, "quality").withColumn("tune", (F.col("fold") == 4).cast("int"))
-    totals = {(r.y, r.tune): r["count"] for r in learn.groupBy("y", "tune").count().collect()}
-    chosen = None
-    for y, tune in totals:
-        part = learn.where((F.col("y") == y) & (F.col("tune") == tune)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "y", "tune")
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return Model(b"", b"", 0.0, 60.0)
-    text = F.coalesce("text", F.lit(""))
-    whole = F.array(text)
-    spread = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PIECES - 1)), lambda i: F.substr(text, (i * (F.length(text) - PIECE) / (SAMPLE_PIECES - 1)).cast("int") + 1, F.lit(PIECE)))
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 4 * rows rows
-    found = picked.select("y", "tune", F.when(F.length(text) <= SAMPLE_PIECES * PIECE, whole).otherwise(spread).alias("pieces")).orderBy("y", "tune", F.xxhash64("pieces")).collect()
-    pieces: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in found:
-        if not r.tune:
-            raw = "".join(r.pieces).encode("utf-8", "surrogatepass")
-            pieces[r.y] += [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
-    good, bad = _dictionary(pieces[1]), _dictionary(pieces[0])
-    with_good, with_bad = compressor(good), compressor(bad)
-    tune = [(difference("".join(r.pieces), with_good, with_bad), r.y) for r in found if r.tune]
-    seen = {y for y, _ in totals}
-    if len(seen) == 1 or len({y for _, y in tune}) < 2:
-        return Model(good, bad, 0.0, 60.0 if seen == {1} else -60.0 if seen == {0} else 0.0)
-    x, y = np.array([t[0] for t in tune]), np.array([t[1] for t in tune], float)
-    weight = np.where(y == 1, totals[1, 1] / max(1, (y == 1).sum()), totals[0, 1] / max(1, (y == 0).sum()))
-    return Model(good, bad, *logistic(x, y, weight))
+def dictionaries(sample: DataFrame, most: int = SAMPLE_BYTES) -> dict[int, bytes]:
+    """The dictionary of each class, from rows (y, text, place) in the order of their places."""
 
-
-def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
-    """docs with a further column `name`, which docs must not have."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, list[bytes]] = {}
+        size = {0: 0, 1: 0}
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                if raw and size[y] + len(raw) <= most:
+                    size[y] += len(raw)
+                    pieces.setdefault(y, []).extend(raw[i : i + PIECE] for i in range(0, len(raw), PIECE))
+        for y, some in pieces.items():
+            yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([_dictionary(some)], pa.binary())], ["y", "dictionary"])
+
+    one = sample.repartition(1).sortWithinPartitions("y", "place").select("y", "text")  # bounded by its rows
+    return {r.y: bytes(r.dictionary) for r in one.mapInArrow(run, "y int, dictionary binary").collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> Model:
+    learn = usable(labels, "quality")
+    seen = {r.y for r in learn.groupBy("y").count().collect()}
+    if len(seen) < 2:
+        return Model(b"", b"", 0.0, -60.0 if seen == {0} else 60.0)
+    place = F.struct(F.xxhash64("doc_id"), "doc_id")
+    train = learn.where("fold <> 4").select("doc_id", "y", place.alias("place"))
+    chosen = train.where("y = 0").orderBy("place").limit(rows).unionByName(train.where("y = 1").orderBy("place").limit(rows))
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * rows rows
+    trained = dictionaries(picked.select("y", "text", F.struct("place", F.xxhash64("text")).alias("place")), most)
+    model = Model(trained.get(1, b""), trained.get(0, b""), 1.0, 0.0)
+    tune = differences(join_labels(docs.select("doc_id", "text"), learn.where("fold = 4").select("doc_id", "y")).select("y", "text"), model, "x")
+    bins = tune.groupBy("y", F.round(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), "x")), 4).alias("x")).count().orderBy("y", "x").collect()  # 80002 at most
+    if len({r.y for r in bins}) < 2:
+        return model._replace(a=0.0, b=0.0)
+    a, b = logistic(np.array([r.x for r in bins]), np.array([r.y for r in bins], float), np.array([r["count"] for r in bins], float))
+    return model._replace(a=a, b=b)
+
+
+def differences(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """docs with a further column `name`: difference() of the text."""
     at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +115,18 @@ def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFra
         m = shared.value
         good, bad = compressor(m.good), compressor(m.bad)
         for batch in batches:
-            scores = [probability(difference(t, good, bad), m.a, m.b) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
+            found = [difference(t, good, bad) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
 
 
+def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """docs with a further column `name`, which docs must not have."""
+    line = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col(name) * model.a + model.b))
+    return differences(docs, model, name).withColumn(name, 1 / (1 + F.exp(-line)))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least threshold; same columns."""
     name = fresh(docs, "quality_score")
