@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -50,7 +49,3 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
         if size < 1e-9:
             break
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
-
-
-def probability(x: float, a: float, b: float) -> float:
-    return 1 / (1 + math.exp(-max(-60.0, min(60.0, a * x + b))))
