@@ -308,7 +308,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """(a, b) of the pairs whose sets (cid, grams) are linked. Each pair's second set travels to its first one's task."""
     members = pairs.select(F.col("a").alias("unit"), F.lit(1).alias("side"), F.col("b").alias("cid"))
     members = members.unionByName(pairs.select(F.col("a").alias("unit"), F.lit(0).alias("side"), F.col("a").alias("cid")).distinct())
-    placed = members.join(sets.select("cid", "grams").hint("merge"), "cid").select("unit", "side", "cid", "grams")
+    placed = members.join(_only(sets, members).select("cid", "grams").hint("merge"), "cid").select("unit", "side", "cid", "grams")
     placed = placed.repartition(partitions(pairs.sparkSession), "unit").sortWithinPartitions("unit", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,6 +335,11 @@ def small_enough(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _only(sets: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of sets whose cid is one of `of`, so that only those travel."""
+    return sets.join(small_enough(of.select("cid").distinct()), "cid", "left_semi")
+
+
 def _prefixes(firsts: DataFrame, lists: Lists, need: int) -> DataFrame:
     """(cid, n, low, key, size, mask): each class under the keys of its prefix. firsts: (cid, n, sig, low)."""
     keyed = postings(firsts, lists)
@@ -358,7 +363,7 @@ def _blocks(rest: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", own.cast("int")).withColumn("other", F.explode(F.sequence(F.when(F.col("inside"), F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1)))
     rows = rows.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
     rows = rows.select(F.xxhash64("key", "bi", "bj").alias("unit"), "bi", "bj", "block", "cid", "mask", "root")
-    return rows.join(sets.select("cid", "sig"), "cid").select(*rows.columns, "sig")
+    return rows.join(_only(sets, rest).select("cid", "sig"), "cid").select(*rows.columns, "sig")
 
 
 def connected(signed: DataFrame, classes: DataFrame, *, num: int, den: int, match: int, lists: Lists, need: int) -> DataFrame:
@@ -389,10 +394,10 @@ def connected(signed: DataFrame, classes: DataFrame, *, num: int, den: int, matc
     long = rest.where(F.col("size") > SMALL)
     if not long.isEmpty():
         units = materialize(_blocks(long, sets))
-        some = _taking_part(beside(units, "unit", "block", "cid"), match, lists.choices)
-        chosen = units.join(some, ["unit", "cid"]).join(sets.select("cid", "grams"), "cid").select(*units.columns, "grams")
+        some = materialize(_taking_part(beside(units, "unit", "block", "cid"), match, lists.choices))
+        chosen = units.join(some, ["unit", "cid"]).join(_only(sets, some).select("cid", "grams"), "cid").select(*units.columns, "grams")
         more.append(materialize(_forests(beside(chosen, "unit", "block", "cid"), match, num, den, lists.choices)))
-        release(units)
+        release(units, some)
     release(posted, pairs, rest, again)
     found = more[0] if len(more) == 1 else more[0].unionByName(more[1])
     if found.isEmpty():
