@@ -1,15 +1,20 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in DataFrame operations only.
 
 A text is cut into sections at blank lines and into paragraphs at line ends; both cuts can be undone, so the root, a hash
-of the sections' hashes, which hash their paragraphs' hashes, is equal for equal texts only. differing() walks two trees
-down their unequal branches to the paragraphs that were edited.
-
-A fingerprint is `root:n:pieces:words`. To compare texts whose roots differ, it carries a sketch of bounded size: the
-SKETCH smallest distinct hashes among the pieces of up to PIECE words that paragraphs are cut into (n of them in all),
-and for texts of fewer than FEW pieces those of single words too. likeness() estimates the Jaccard index from both.
-
-Defined cases: a null text is empty; an empty text has one empty section and no pieces; its likeness to any other text
-is 0, as is that of texts without words unless they are equal.
+of the sections' hashes, which hash their paragraphs' hashes, is equal for equal texts only. differing() locates edits: it
+descends only into sections that the other tree doesn't have, and finds the paragraphs that those of the other tree
+don't have, wherever they stand, so an inserted paragraph marks itself and not what follows.
+
+A fingerprint is `root:n:branches:shingles:words`, of bounded size. branches are the SKETCH least hashes of the tree's
+paragraphs, each with its length; shingles are the SKETCH least distinct hashes of the text's PIECE-word shingles (n of
+them in all), and texts of fewer than FEW shingles carry those of single words too. likeness() of texts with different
+roots is the larger of two shares: that of the equal branches in both trees by length, and the Jaccard index of the
+shingles (halved with that of the words, where either text has few), which sees what differing branches share.
+
+Defined cases: a null text is empty; an empty text has one empty section and no shingles; its likeness to any other text
+is 0, as is that of texts without words unless they are equal; rows with equal doc_id are ordered by text, and rows that
+repeat follow each other; a null doc_id comes first; an empty table gives an empty result; texts of any length are read
+whole; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -20,61 +25,83 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import partitions
 
 SKETCH, PIECE, FEW = 64, 4, 8
-PIECES = r"[^ \t\n\r]+(?:[ \t\r]+[^ \t\n\r]+){0,%d}" % (PIECE - 1)
 WORDS = r"[^ \t\n\r]+"
 
 
 def tree(text: Column) -> Column:
-    """array<array<string>>: the hash of each paragraph, by section."""
-    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p.cast("binary"), 256)))
+    """array<array<(hash, length)>>: each paragraph, by section."""
+    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.struct(F.sha2(p.cast("binary"), 256).alias("hash"), F.length(p).alias("length"))))
+
+
+def section_hashes(tree: Column) -> Column:
+    return F.transform(tree, _section)
+
 
+def _section(paragraphs: Column) -> Column:
+    return F.sha2(F.array_join(paragraphs["hash"], "").cast("binary"), 256)
 
-def section_hashes(paragraphs: Column) -> Column:
-    return F.transform(paragraphs, lambda ps: F.sha2(F.array_join(ps, "").cast("binary"), 256))
 
+def root(tree: Column) -> Column:
+    return F.sha2(F.array_join(section_hashes(tree), "").cast("binary"), 256)
 
-def root(text: Column) -> Column:
-    return F.sha2(F.array_join(section_hashes(tree(text)), "").cast("binary"), 256)
+
+def changed(a: Column, b: Column) -> Column:
+    """The hashes of the paragraphs in sections of tree a that tree b doesn't have, but for those in such sections of b."""
+
+    def open_paragraphs(x: Column, y: Column) -> Column:
+        own = F.array_except(section_hashes(x), section_hashes(y))
+        return F.flatten(F.transform(F.filter(x, lambda s: F.array_contains(own, _section(s))), lambda s: s["hash"]))
+
+    return F.array_except(open_paragraphs(a, b), open_paragraphs(b, a))
 
 
 def differing(a: Column, b: Column) -> Column:
-    """(section, paragraph), from 0, of the paragraphs of tree a whose branch differs from tree b's at the same place."""
+    """(section, paragraph), from 0, of the paragraphs of tree a that changed() names, in sections that tree b doesn't have."""
+    names, equal = changed(a, b), F.array_intersect(section_hashes(a), section_hashes(b))
 
-    def paragraphs(pair: Column, s: Column) -> Column:
-        # equal sections are not descended into
-        zipped = F.filter(F.transform(F.arrays_zip(F.coalesce(pair["a"], F.array().cast("array<string>")).alias("x"), F.coalesce(pair["b"], F.array().cast("array<string>")).alias("y")), lambda z, p: F.when(~z["x"].eqNullSafe(z["y"]), F.struct(s.alias("section"), p.alias("paragraph")))), lambda z: z.isNotNull())
-        return F.when(pair["a"].eqNullSafe(pair["b"]), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(zipped)
+    def places(paragraphs: Column, s: Column) -> Column:
+        found = F.transform(paragraphs, lambda p, k: F.when(F.array_contains(names, p["hash"]), F.struct(s.alias("section"), k.alias("paragraph"))))
+        return F.when(F.array_contains(equal, _section(paragraphs)), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(F.filter(found, lambda p: p.isNotNull()))
 
-    return F.flatten(F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), paragraphs))
+    return F.flatten(F.transform(a, places))
 
 
-def _sketch(text: Column, pattern: str) -> Column:
-    hashes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p: F.substring(F.md5(p.cast("binary")), 1, 8))
+def _least(hashes: Column) -> Column:
     return F.slice(F.array_sort(F.array_distinct(hashes)), 1, SKETCH)
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    df = df.withColumn("_pieces", F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)))
-    hashes = F.transform("_pieces", lambda p: F.substring(F.md5(p.cast("binary")), 1, 8))
-    n = F.size("_pieces")
-    words = F.when(n < FEW, F.array_join(_sketch(F.col(text), WORDS), ",")).otherwise("")
-    sketch = F.slice(F.array_sort(F.array_distinct(hashes)), 1, SKETCH)
-    return df.withColumn(name, F.concat_ws(":", root(F.col(text)), n.cast("string"), F.array_join(sketch, ","), words)).drop("_pieces")
+def _short(text: Column) -> Column:
+    return F.substring(F.md5(text.cast("binary")), 1, 8)
+
+
+def with_fingerprint(df: DataFrame, text: str, name: str, tree_name: str = "_tree") -> DataFrame:
+    """df with the fingerprint of a column, and its tree."""
+    df = df.withColumn(tree_name, tree(F.col(text))).withColumn("_words", F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)))
+    places = F.when(F.size("_words") > 0, F.sequence(F.lit(1), F.greatest(F.size("_words") - (PIECE - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("_shingles", F.transform(places, lambda k: _short(F.array_join(F.slice("_words", k, PIECE), " "))))
+    n = F.size("_shingles")
+    words = F.when(n < FEW, F.array_join(_least(F.transform("_words", _short)), ",")).otherwise("")
+    paragraphs = F.filter(F.flatten(tree_name), lambda p: p["length"] > 0)
+    branches = F.array_join(_least(F.transform(paragraphs, lambda p: F.concat_ws(".", F.substring(p["hash"], 1, 8), p["length"].cast("string")))), ",")
+    return df.withColumn(name, F.concat_ws(":", root(F.col(tree_name)), n.cast("string"), branches, F.array_join(_least(F.col("_shingles")), ","), words)).drop("_words", "_shingles")
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    """From two lists of hashes, comma-joined: the share of the smallest hashes of both that are in either."""
+def _shared(a: Column, b: Column, weight) -> Column:
+    """From two lists of hashes, comma-joined: the share, by weight, of the least hashes of both that are in either."""
     x, y = (F.filter(F.split(c, ","), lambda h: h != "") for c in (a, b))
     least = F.slice(F.array_sort(F.array_union(x, y)), 1, SKETCH)
-    return F.coalesce(F.size(F.array_intersect(F.array_intersect(x, y), least)) / F.nullif(F.size(least), F.lit(0)), F.lit(0.0))
+    total = lambda hs: F.aggregate(hs, F.lit(0).cast("long"), lambda s, h: s + weight(h))
+    return F.coalesce(total(F.array_intersect(F.array_intersect(x, y), least)) / F.nullif(total(least), F.lit(0).cast("long")), F.lit(0.0))
 
 
 def likeness(a: str, b: str) -> Column:
     """0 to 1, from two columns with fingerprints."""
     x, y = F.split(a, ":"), F.split(b, ":")
-    pieces = _jaccard(x[2], y[2])
+    one, length = (lambda h: F.lit(1).cast("long")), (lambda h: F.substring_index(h, ".", -1).cast("long"))
+    shingles = _shared(x[3], y[3], one)
     few = F.least(x[1].cast("int"), y[1].cast("int")) < FEW
-    return F.when(F.col(a) == F.col(b), 1.0).when(few, (pieces + _jaccard(x[3], y[3])) / 2).otherwise(pieces)
+    shingles = F.when(few, (shingles + _shared(x[4], y[4], one)) / 2).otherwise(shingles)
+    return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(_shared(x[2], y[2], length), shingles))
 
 
 def with_bucket(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -104,15 +131,16 @@ def neighbours(docs: DataFrame) -> tuple[DataFrame, Window]:
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    """The columns of the query."""
+    """The columns of the query; n_changed: how many different paragraphs of the edited text its tree locates as edits."""
     both, order = neighbours(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     both = both.withColumn("next_text", F.lead("text").over(order))
     both = with_fingerprint(both, "text", "fingerprint")
     both = both.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where("extra = 0")
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.expr("concat(left(text, int(n_chars - n_chars div 4)), left(next_text, int(n_chars div 4)))"))
-    both = with_fingerprint(both, "edited", "edited_fingerprint")
+    both = with_fingerprint(both, "edited", "edited_fingerprint", "_edited_tree")
     return both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        F.size(changed(F.col("_edited_tree"), F.col("_tree"))).cast("long").alias("n_changed"),
     )

@@ -34,25 +34,36 @@ FROM rows GROUP BY conv_id
 """
 
 
-def _fingerprint(text: str) -> str:
-    words, pieces = r"[^ \t\n\r]+", r"[^ \t\n\r]+(?:[ \t\r]+[^ \t\n\r]+){0,3}"
-    sketch = "list_sort(list_distinct(list_transform(regexp_extract_all({t}, '{p}'), lambda p: left(md5(p), 8))))[1:64]"
-    root = "sha256(array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256(q)), ''))), ''))"
-    n = "len(regexp_extract_all({t}, '{p}'))"
-    return (
-        f"{root.format(t=text)} || ':' || {n.format(t=text, p=pieces)} || ':' || array_to_string({sketch.format(t=text, p=pieces)}, ',')"
-        f" || ':' || CASE WHEN {n.format(t=text, p=pieces)} < 8 THEN array_to_string({sketch.format(t=text, p=words)}, ',') ELSE '' END"
-    )
+WORDS = r"[^ \t\n\r]+"
+
+
+def _fingerprint(t: str) -> str:
+    """From the columns t and t_words."""
+    least = lambda hashes: f"array_to_string(list_sort(list_distinct({hashes}))[1:64], ',')"
+    words = f"{t}_words"
+    n = f"(CASE WHEN len({words}) = 0 THEN 0 ELSE greatest(len({words}) - 3, 1) END)"
+    shingles = f"list_transform(range(1, {n} + 1), lambda i: left(md5(array_to_string({words}[i:i+3], ' ')), 8))"
+    root = f"sha256(array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256(q)), ''))), ''))"
+    branches = f"list_transform(list_filter(string_split({t}, chr(10)), lambda p: p <> ''), lambda p: left(sha256(p), 8) || '.' || CAST(length(p) AS VARCHAR))"
+    few = f"CASE WHEN {n} < 8 THEN {least(f'list_transform({words}, lambda w: left(md5(w), 8))')} ELSE '' END"
+    return f"{root} || ':' || CAST({n} AS VARCHAR) || ':' || {least(branches)} || ':' || {least(shingles)} || ':' || {few}"
 
 
 def _likeness(a: str, b: str) -> str:
-    def jaccard(k: int) -> str:
+    def shared(k: int, weight: str) -> str:
         x, y = (f"list_filter(string_split(split_part({c}, ':', {k}), ','), lambda h: h <> '')" for c in (a, b))
         least = f"list_sort(list_distinct(list_concat({x}, {y})))[1:64]"
-        return f"coalesce(len(list_intersect(list_intersect({x}, {y}), {least})) / nullif(len({least}), 0), 0.0)"
+        total = lambda hs: f"list_sum(list_transform({hs}, lambda h: {weight}))"
+        both = f"list_intersect(list_intersect({x}, {y}), {least})"
+        return f"coalesce(coalesce({total(both)}, 0) / nullif({total(least)}, 0), 0.0)"
 
     few = f"least(CAST(split_part({a}, ':', 2) AS INT), CAST(split_part({b}, ':', 2) AS INT)) < 8"
-    return f"CAST(CASE WHEN {a} = {b} THEN 1.0 WHEN {few} THEN ({jaccard(3)} + {jaccard(4)}) / 2 ELSE {jaccard(3)} END AS DOUBLE)"
+    shingles = f"CASE WHEN {few} THEN ({shared(4, '1')} + {shared(5, '1')}) / 2 ELSE {shared(4, '1')} END"
+    branches = shared(3, "CAST(split_part(h, '.', 2) AS BIGINT)")
+    return f"CAST(CASE WHEN {a} = {b} THEN 1.0 ELSE greatest({branches}, {shingles}) END AS DOUBLE)"
+
+
+OP3_OPEN = "flatten(list_transform(list_filter({x}_sections, lambda s: NOT list_contains({y}_sections, s)), lambda s: string_split(s, chr(10))))"
 
 
 OP3 = f"""
@@ -62,13 +73,18 @@ n AS (
   FROM d WINDOW o AS (ORDER BY doc_id, text)
 ), e AS (
   SELECT *, left(text, n_chars - n_chars // 4) || left(next_text, n_chars // 4) AS edited FROM n
-), f AS (
-  SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_fingerprint("text")} AS fingerprint,
-    {_fingerprint("edited")} AS edited_fingerprint, {_fingerprint("next_text")} AS next_fingerprint
-  FROM e
+), w AS MATERIALIZED (
+  SELECT *, string_split(text, chr(10) || chr(10)) AS text_sections, string_split(edited, chr(10) || chr(10)) AS edited_sections,
+    regexp_extract_all(text, '{WORDS}') AS text_words, regexp_extract_all(edited, '{WORDS}') AS edited_words, regexp_extract_all(next_text, '{WORDS}') AS next_text_words FROM e
+), p AS MATERIALIZED (
+  SELECT *, {OP3_OPEN.format(x="text", y="edited")} AS gone, {OP3_OPEN.format(x="edited", y="text")} AS new FROM w
+), f AS MATERIALIZED (
+  SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, CAST(len(list_distinct(list_filter(new, lambda q: NOT list_contains(gone, q)))) AS BIGINT) AS n_changed,
+    {_fingerprint("text")} AS fingerprint, {_fingerprint("edited")} AS edited_fingerprint, {_fingerprint("next_text")} AS next_fingerprint
+  FROM p
 )
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-  {_likeness("fingerprint", "edited_fingerprint")} AS near_edited, {_likeness("fingerprint", "next_fingerprint")} AS near_next
+  {_likeness("fingerprint", "edited_fingerprint")} AS near_edited, {_likeness("fingerprint", "next_fingerprint")} AS near_next, n_changed
 FROM f
 """
 
