@@ -129,8 +129,29 @@ def test_fingerprints(spark, documents, nothing):
 def test_merkle_edits(spark):
     a, b = "one\ntwo\n\nthree\nfour", "one\n2\n\nthree\nfour\nfive"
     df = spark.createDataFrame([(a, b)], "a string, b string")
-    got = df.select(fingerprint.differing(fingerprint.tree(F.col("a")), fingerprint.tree(F.col("b"))).alias("d"), (fingerprint.root(F.col("a")) == fingerprint.root(F.col("b"))).alias("same")).first()
-    assert [(d.section, d.paragraph) for d in got.d] == [(0, 1), (1, 2)] and not got.same
+    got = df.select(fingerprint.differing(fingerprint.tree(F.col("a")), fingerprint.tree(F.col("b"))).alias("d"), (fingerprint.root(fingerprint.tree(F.col("a"))) == fingerprint.root(fingerprint.tree(F.col("b")))).alias("same")).first()
+    assert [(d.section, d.paragraph) for d in got.d] == [(0, 1)] and not got.same
+
+
+def test_located_edits(spark):
+    """An inserted paragraph marks itself only; moved sections and paragraphs are none; near copies stay near."""
+    rnd = random.Random(3)
+    lines = [prose(k, 12).replace("\n", " ") for k in range(30)]
+    texts = ["\n\n".join("\n".join(lines[k : k + 3]) for k in range(0, 30, 3))]
+    texts.append("\n\n".join("\n".join(lines[k : k + 3]) for k in (*range(3, 30, 3), 0)))  # the first section moves
+    texts.append(texts[0].replace(lines[4], f"new line\n{lines[4]}"))
+    texts.append(texts[0].replace(lines[4], f"less {lines[4]}").replace(lines[17], lines[17] + " more"))
+    word = texts[0].split(" ", 1)
+    texts.append(f"{word[0]} inserted {word[1]}".replace("\n", " "))
+    texts.append(prose(99, 360))
+    df = spark.createDataFrame([(k, texts[0], t) for k, t in enumerate(texts)], "k int, a string, b string")
+    df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, "a", "x", "ta"), "b", "y", "tb")
+    got = {r.k: r for r in df.select("k", fingerprint.differing(F.col("tb"), F.col("ta")).alias("d"), fingerprint.differing(F.col("ta"), F.col("tb")).alias("e"), fingerprint.likeness("x", "y").alias("near")).collect()}
+    places = lambda ds: [(d.section, d.paragraph) for d in ds]
+    assert [places(got[k].d) for k in range(4)] == [[], [], [(1, 1)], [(1, 1), (5, 2)]]
+    assert [places(got[k].e) for k in range(4)] == [[], [], [], [(1, 1), (5, 2)]]
+    assert got[0].near == 1 and got[1].near == 1 or got[1].near > 0.9
+    assert got[2].near > 0.9 and 0.8 < got[3].near < 1 and got[4].near > 0.8 and got[5].near < 0.1 and rnd
 
 
 # --- personal data ---
