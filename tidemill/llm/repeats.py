@@ -7,17 +7,22 @@ documents; windows whose owner occurs once are unique. The others go on.
 Each task lays its documents, in order, into shards of about SHARD bytes. Over the windows that go on, a shard gets a
 suffix array by Larsson-Sadakane refinement, and Kasai's common prefixes group equal windows: all but the first of a
 group are repeats. First windows are then merged across shards: they are dealt by owner, so equal windows meet, and the
-hashes of each are binary-searched among the sorted hashes of those before. A shard sends a window once at most, which
-bounds groups by the number of shards; windows of owners with more than HOT occurrences are dealt one by one by their
-own hash.
+hash of each is binary-searched among the sorted hashes of all. What that finds is compared byte by byte with the first
+window of its group, and hashes that different windows share are grouped by their bytes, so hashes decide nothing.
 
-The owners that occur more than once reach the tasks as a table of bits of bounded size; hash collisions there only let
-more windows go on, so the result is the same for any size of input.
+A shard sends a window once at most. Windows of owners with more than HOT occurrences are dealt one by one by their own
+hash, and merged in two levels: first in SALTS parts of the documents each, then what is left of the parts.
 
-Exact copies of an earlier document are repeats as a whole and are set aside before. Documents are ordered by doc_id
-(null first), then by a hash of the text; rows with equal doc_id and text are one document and get the same result.
+The owners that occur more than once, and those of more than HOT occurrences, reach the tasks as tables of bits of
+bounded size; hash collisions there only let more windows go on, or alone, so the result is the same for any size of input.
 
-Defined cases: null texts are empty; texts of fewer than LENGTH bytes keep all; matches never cross documents.
+Exact copies of an earlier document (equal by 192 bits of two hashes) are repeats as a whole and are set aside before.
+Documents are ordered by doc_id (null first), then by a hash of the text; rows with equal doc_id and text are one
+document and get the same result.
+
+Defined cases: null texts are empty; texts of fewer than LENGTH bytes keep all; matches never cross documents; empty
+tables give empty results; texts of any length are read whole, in pieces of SHARD bytes that overlap; other columns of
+the input are not read, and remove() returns doc_id, kept and spans only.
 """
 
 from __future__ import annotations
@@ -33,12 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import bits
-from tidemill.llm.common import materialize, partitions
+from tidemill.llm.common import materialize, partitions, release
 from tidemill.llm.near import _groups, small_enough
 from tidemill.llm.suffix import common_prefixes, pack, suffix_array
 
-LENGTH, SHARD, HOT = 100, 2 << 20, 4000
-MOST_HOT = 1_000_000
+LENGTH, SHARD, HOT, SALTS = 100, 2 << 20, 4000, 64
 _K = LENGTH // 2
 _CHUNK = 1 << 16
 _SPAN = LENGTH - _K + 1  # strings of _K bytes in a window
@@ -172,8 +176,8 @@ def repeated_in_shard(b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     return flagged
 
 
-_RUN = "doc_id long, hash long, start long, stop long, owner long, bytes binary"
-_NAMES = ["doc_id", "hash", "start", "stop", "owner", "bytes"]
+_RUN = "doc_id long, hash long, start long, stop long, owner long, bytes binary, alone boolean"
+_NAMES = ["doc_id", "hash", "start", "stop", "owner", "bytes", "alone"]
 
 
 def count_owners(docs: DataFrame) -> DataFrame:
@@ -188,8 +192,11 @@ def count_owners(docs: DataFrame) -> DataFrame:
 
 
 def shard_runs(docs: DataFrame, table: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """_RUN rows: bytes that a shard removes (owner null), and runs of windows to merge across shards, with their bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast((table, np.sort(hot)))
+    """_RUN rows: bytes that a shard removes (owner null), and runs of windows to merge across shards, with their bytes.
+
+    table holds the owners that occur again, hot those that occur very often, whose windows go alone.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((table, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hot_owners = shared.value
@@ -200,15 +207,15 @@ def shard_runs(docs: DataFrame, table: np.ndarray, hot: np.ndarray) -> DataFrame
             flagged = repeated_in_shard(b, low, high)
             begins = np.concatenate([[0], ends[:-1]])
 
-            def rows(start: np.ndarray, stop: np.ndarray, who: pa.Array, raw: pa.Array, *, ids=ids, hashes=hashes, offsets=offsets, ends=ends, begins=begins) -> pa.RecordBatch:
+            def rows(start: np.ndarray, stop: np.ndarray, who: pa.Array, raw: pa.Array, alone: np.ndarray, *, ids=ids, hashes=hashes, offsets=offsets, ends=ends, begins=begins) -> pa.RecordBatch:
                 doc = np.searchsorted(ends, start, side="right")
                 shift = offsets[doc] - begins[doc]
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(hashes, pa.int64()).take(pa.array(doc)), pa.array(start + shift), pa.array(stop + shift), who, raw], _NAMES)
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(hashes, pa.int64()).take(pa.array(doc)), pa.array(start + shift), pa.array(stop + shift), who, raw, pa.array(alone)], _NAMES)
 
             edge = np.flatnonzero(np.diff(np.concatenate([[0], flagged.astype(np.int8), [0]])))
             if edge.size:
                 s, e = edge[::2], edge[1::2] - 1 + LENGTH
-                yield rows(s, e, pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.binary()))
+                yield rows(s, e, pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.binary()), np.zeros(len(s), bool))
             if not low.size:
                 continue
             # of each run, the part from its first to its last window that isn't flagged
@@ -218,31 +225,53 @@ def shard_runs(docs: DataFrame, table: np.ndarray, hot: np.ndarray) -> DataFrame
             positions = np.flatnonzero(~flagged)
             low = positions[free[low]]
             high = positions[free[high + 1] - 1]
-            single = np.isin(owner, hot_owners)
+            single = bits.holds(hot_owners, owner)
+            alone = np.zeros(len(low), bool)
             if single.any():
                 many = (high - low + 1)[single]
                 ones = np.repeat(low[single] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
                 ones = ones[~flagged[ones]]
                 own = rolling(b, LENGTH)[ones]
                 low, high, owner = np.concatenate([low[~single], ones]), np.concatenate([high[~single], ones]), np.concatenate([owner[~single], own])
+                alone = np.concatenate([alone[~single], np.ones(len(ones), bool)])
             raw = b.tobytes()
             for at in range(0, len(low), 20_000):
                 part = slice(at, at + 20_000)
                 texts = pa.array([raw[s : e + LENGTH] for s, e in zip(low[part].tolist(), high[part].tolist(), strict=True)], pa.binary())
-                yield rows(low[part], high[part] + 1, pa.array(owner[part].view(np.int64)), texts)
+                yield rows(low[part], high[part] + 1, pa.array(owner[part].view(np.int64)), texts, alone[part])
 
     return docs.mapInArrow(run, _RUN)
 
 
+def _first_equal(h: np.ndarray, at: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each window (its hash, and the place of its first byte in b) the first one with equal bytes."""
+    order = np.argsort(h, kind="stable")
+    ordered = h[order]
+    first = np.empty(len(h), np.int64)
+    first[order] = order[np.searchsorted(ordered, ordered, side="left")]
+    later = np.flatnonzero(first != np.arange(len(h)))
+    every = np.lib.stride_tricks.sliding_window_view(b, LENGTH)
+    wrong = [later[:0]]
+    for k in range(0, len(later), _CHUNK):
+        some = later[k : k + _CHUNK]
+        wrong.append(some[(every[at[some]] != every[at[first[some]]]).any(1)])
+    for value in np.unique(h[np.concatenate(wrong)]).tolist():  # different windows of one hash
+        seen: dict[bytes, int] = {}
+        for i in np.flatnonzero(h == np.uint64(value)).tolist():
+            first[i] = seen.setdefault(every[at[i]].tobytes(), i)
+    return first
+
+
 def merge_shards(runs: DataFrame) -> DataFrame:
-    """(doc_id, hash, start, stop) of removed bytes, from shard_runs() dealt and sorted by owner."""
+    """_RUN rows from shard_runs() with a column part, dealt and sorted by it: removed bytes (alone false, no bytes) and,
+    of the windows that go alone, the first of its equals in each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches, 4):
+        for batch in _groups(batches, len(_NAMES)):
             done = pa.compute.is_null(batch.column(5))
             local = batch.filter(done)
             if len(local):
-                yield local.select(_NAMES[:4])
+                yield local.select(_NAMES)
             batch = batch.filter(pa.compute.invert(done))
             if not len(batch):
                 continue
@@ -254,16 +283,16 @@ def merge_shards(runs: DataFrame) -> DataFrame:
             b = np.frombuffer(b"".join(raws), np.uint8)
             begin = np.cumsum(sizes) - sizes
             row = np.repeat(np.arange(len(raws)), windows)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-            h = rolling(b, LENGTH)[np.repeat(begin, windows) + inside]
-            # equal windows side by side, the first of them (in the documents' order) in front
-            order = np.argsort(h, kind="stable")
-            ordered = h[order]
-            first = order[np.searchsorted(ordered, ordered, side="left")]
+            head = np.cumsum(windows) - windows
+            inside = np.arange(len(row)) - np.repeat(head, windows)
+            at = np.repeat(begin, windows) + inside
+            # the first of equal windows, in the documents' order
+            first = _first_equal(rolling(b, LENGTH)[at], at, b)
+            alone = batch.column(6).to_numpy(zero_copy_only=False)
+            if alone.any():
+                yield batch.filter(pa.array(alone & (first[head] == head))).select(_NAMES)
             place = start[row] + inside
-            elsewhere = (place[order] != place[first]) | (doc[row[order]] != doc[row[first]]) | (own[row[order]] != own[row[first]])  # not the same row again
-            flagged = np.zeros(len(h), bool)
-            flagged[order[elsewhere]] = True
+            flagged = (place != place[first]) | (doc[row] != doc[row[first]]) | (own[row] != own[row[first]])  # not the same row again
             # flagged windows of a run that follow each other are one span
             follows = np.concatenate([[False], flagged[:-1] & (row[1:] == row[:-1])])
             s = np.flatnonzero(flagged & ~follows)
@@ -272,9 +301,10 @@ def merge_shards(runs: DataFrame) -> DataFrame:
             ends_here = flagged & ~np.concatenate([follows[1:] & flagged[1:], [False]])
             e = np.flatnonzero(ends_here)
             part = pa.array(row[s])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(start[row[s]] + inside[s]), pa.array(start[row[e]] + inside[e] + LENGTH)], _NAMES[:4])
+            spans = [batch.column(0).take(part), batch.column(1).take(part), pa.array(start[row[s]] + inside[s]), pa.array(start[row[e]] + inside[e] + LENGTH)]
+            yield pa.RecordBatch.from_arrays([*spans, pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.binary()), pa.array(np.zeros(len(s), bool))], _NAMES)
 
-    return runs.mapInArrow(run, "doc_id long, hash long, start long, stop long")
+    return runs.mapInArrow(run, _RUN)
 
 
 def find(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
@@ -283,7 +313,7 @@ def find(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select("doc_id", text.alias("text")).withColumn("hash", F.xxhash64("text"))
     # copies of an earlier document as a whole
-    long = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "hash", F.octet_length("text").alias("size"), F.substring(F.md5("text"), 1, 16).alias("check"))
+    long = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "hash", F.octet_length("text").alias("size"), F.md5("text").alias("check"))
     earliest = long.groupBy("hash", "check").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"), F.countDistinct(F.struct("doc_id")).alias("ids"))
     again = materialize(earliest.where("ids > 1").select("hash", "check", F.col("first.doc_id").alias("first")))
     copies = materialize(long.join(again, ["hash", "check"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "hash", "size").distinct())
@@ -291,11 +321,15 @@ def find(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     rest = docs.alias("d").join(small_enough(copies).alias("c"), same("c"), "left_anti").select("doc_id", "hash", "text")
     counts = materialize(count_owners(rest))
     table = bits.build(counts, "owner")
-    while counts.where(F.col("n") > hot).count() > MOST_HOT:
-        hot *= 2
-    often = np.array([r.owner for r in counts.where(F.col("n") > hot).select("owner").toLocalIterator()], np.int64).view(np.uint64)
-    runs = shard_runs(rest, table, often).repartition(partitions(spark), F.coalesce("owner", F.xxhash64("doc_id", "start"))).sortWithinPartitions("owner")
-    spans = merge_shards(runs.withColumn("owner", F.coalesce("owner", F.lit(0)))).unionByName(copies.select("doc_id", "hash", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop")))
+    runs = shard_runs(rest, table, bits.build(counts.where(F.col("n") > hot), "owner"))
+    n = partitions(spark)
+    dealt = lambda rows, part: rows.withColumn("part", part).repartition(n, "part").sortWithinPartitions("part")
+    salted = F.xxhash64("owner", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(SALTS)))
+    level = materialize(merge_shards(dealt(runs, F.when(F.col("alone"), salted).otherwise(F.coalesce("owner", F.xxhash64("doc_id", "start"))))))
+    last = merge_shards(dealt(level.where("alone").withColumn("alone", F.lit(False)), F.col("owner")))
+    spans = level.where("NOT alone").unionByName(last).select("doc_id", "hash", "start", "stop")
+    spans = spans.unionByName(copies.select("doc_id", "hash", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop")))
+    release(counts)
     spans = spans.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return docs.alias("d").join(spans.alias("s"), same("s"), "left").select("d.doc_id", "d.hash", "d.text", "s.spans")
 
