@@ -1,18 +1,23 @@
 """Substring dedup by paragraphs: MinHash bands, exact Jaccard, and one paragraph kept of each component.
 
-Paragraphs are lines of LEAST words or more. Those whose signatures collide in a band (Lists of BANDS bands of ROWS
-coordinates, which join paragraphs of similarity 0.8 with probability 0.998) are confirmed by the exact Jaccard index
-of their 5-word shingles, and of each component of links all but the first paragraph (by doc_id, then place) go.
+Paragraphs are lines of LEAST words or more, and shorter lines that follow each other (up to a blank or a long one) if
+they have as many together. Those whose signatures collide in a band (Lists of BANDS bands of ROWS coordinates, which
+join paragraphs of similarity 0.8 with probability 0.998) are confirmed by the exact Jaccard index of their 5-word
+shingles, and of each component of links all but the first paragraph (by doc_id, then place) go.
 
 A passage that is set into different paragraphs makes no such pair. So each document is also cut, whatever its lines, into
 pieces at words whose hash is the least within REACH words on both sides; passages are cut alike wherever they stand.
-Pieces that are equal (Jaccard 1) to an earlier one go where LEAST words or more of them follow each other. Equal pieces
-that follow each other (words that repeat in turn) travel as one row, and keys of more than HOT rows are joined in parts.
+Pieces that are equal (by 128 bits of two hashes of their words) to an earlier one go where RUN words or more of them
+follow each other. A passage begins and ends within a piece, so those of RUN words are found only if their ends fall on
+cuts; README.md has figures. Equal pieces that follow each other (words that repeat in turn) travel as one row, and keys
+of more than HOT rows are joined in parts.
 
 Band keys and pieces are counted first; only units with a key that occurs again are sent on, through a table of bits of
 bounded size whose collisions cost work but change nothing.
 
-Defined cases: null texts are empty; shorter texts keep all; rows with equal doc_id and text are one document.
+Defined cases: null texts are empty; shorter texts keep all; rows with equal doc_id and text are one document and get
+the same result; a null doc_id comes first; an empty table gives an empty result; texts of any length are read whole;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -30,34 +35,42 @@ from tidemill.llm.common import materialize, release
 from tidemill.llm.repeats import sliding_min
 from tidemill.llm.shingles import SIZE, describe, fold, fold_lines, mix, shingle_sets, shingles, signatures, word_hashes, word_places
 
-LEAST, REACH, BANDS, ROWS, HOT = 20, 4, 12, 4, 4000
+LEAST, RUN, REACH, BANDS, ROWS, HOT = 20, 12, 4, 12, 4, 4000
 NUM, DEN, MATCH = 80, 100, 38
 _TURN = np.uint64(0xA24BAED4963EE407 | 1)
 _BACK = np.uint64(pow(int(_TURN), -1, 1 << 64))
+_SECOND = np.uint64(0x9FB21C651E98DF25 | 1)  # multiplies words' hashes for the second hash of a piece
 
 
 def paragraph_words(raw: bytes, start: np.ndarray) -> np.ndarray:
     """Pairs [first, last) of words of each paragraph that counts."""
     breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
     edge = np.concatenate([[0], np.searchsorted(start, breaks), [len(start)]])
-    pairs = np.stack([edge[:-1], edge[1:]], 1)
+    size = np.diff(edge)
+    short = (size > 0) & (size < LEAST)
+    begin = np.flatnonzero(~(short & np.concatenate([[False], short[:-1]])))
+    pairs = np.stack([edge[begin], edge[np.append(begin[1:], len(size))]], 1)
     return pairs[pairs[:, 1] - pairs[:, 0] >= LEAST]
 
 
 def pieces(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs [first, last) of words, key) of the pieces of a text with these word hashes."""
+    """(pairs [first, last) of words, two keys) of the pieces of a text with these word hashes."""
     n = len(h)
-    if n < LEAST:
-        return np.empty((0, 2), np.int64), np.empty(0, np.uint64)
+    if n < RUN:
+        return np.empty((0, 2), np.int64), np.empty((0, 2), np.uint64)
     two = mix(h[:-1] + h[1:] * _TURN)
     none = np.full(REACH, ~np.uint64(0))
     least = two == sliding_min(np.concatenate([none, two, none]), 2 * REACH + 1)  # each of equals: words that repeat in turn make equal pieces
     edge = np.unique(np.concatenate([[0], np.flatnonzero(least), [n]]))
     power, back = np.full(n, _TURN), np.full(n, _BACK)
     power[0] = back[0] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.multiply.accumulate(power))])
-    key = mix((sums[edge[1:]] - sums[edge[:-1]]) * np.multiply.accumulate(back)[edge[:-1]] + np.diff(edge).astype(np.uint64))
-    return np.stack([edge[:-1], edge[1:]], 1), key
+    np.multiply.accumulate(power, out=power)
+    back = np.multiply.accumulate(back)[edge[:-1]]
+    keys = np.empty((len(edge) - 1, 2), np.uint64)
+    for k, words in enumerate((h, mix(h * _SECOND))):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power)])
+        keys[:, k] = mix((sums[edge[1:]] - sums[edge[:-1]]) * back + np.diff(edge).astype(np.uint64))
+    return np.stack([edge[:-1], edge[1:]], 1), keys
 
 
 def _units(texts: list[str | None], lists: near.Lists):
@@ -85,14 +98,14 @@ def count_keys(docs: DataFrame, lists: near.Lists) -> DataFrame:
             seen = []
             for at in range(0, len(batch), 256):
                 per_text, keys = _units(batch.column(2).slice(at, 256).to_pylist(), lists)
-                seen += [keys.ravel(), *(k for *_, k in per_text)]
+                seen += [keys.ravel(), *(k[:, 0] for *_, k in per_text)]
             key, n = np.unique(np.concatenate(seen), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["owner", "n"])
 
     return docs.mapInArrow(run, "owner long, n long").groupBy("owner").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-_SCHEMA = f"doc_id long, hash long, first long, last long, one long, piece long, {near.SIGNED}"
+_SCHEMA = f"doc_id long, hash long, first long, last long, one long, piece long, piece2 long, {near.SIGNED}"
 
 
 def repeated_units(docs: DataFrame, table: np.ndarray, lists: near.Lists) -> DataFrame:
@@ -111,16 +124,17 @@ def repeated_units(docs: DataFrame, table: np.ndarray, lists: near.Lists) -> Dat
                 if go.size:
                     s = describe(shingle_sets([per_text[d][0][a:b] for d, (a, b) in zip(doc[go].tolist(), pairs[go].tolist(), strict=True)]))
                     binary = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (s.signatures, s.signatures.astype(np.uint8))]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[go])), part.column(1).take(pa.array(doc[go])), pa.array(pairs[go, 0]), pa.array(pairs[go, 1]), *[pa.nulls(len(go), pa.int64())] * 2, pa.array(s.sizes), *(pa.array(s.keys[:, k].view(np.int64)) for k in (0, 1)), *binary, pa.array(s.grams, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[go])), part.column(1).take(pa.array(doc[go])), pa.array(pairs[go, 0]), pa.array(pairs[go, 1]), *[pa.nulls(len(go), pa.int64())] * 3, pa.array(s.sizes), *(pa.array(s.keys[:, k].view(np.int64)) for k in (0, 1)), *binary, pa.array(s.grams, pa.binary())], names)
                 doc = np.repeat(np.arange(len(part)), [len(k) for *_, k in per_text])
                 pairs, key = np.concatenate([p for _, _, p, _ in per_text]), np.concatenate([k for *_, k in per_text])
-                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if key.size else [])
-                one, pairs = pairs[new, 1], np.stack([pairs[new, 0], pairs[np.append(new[1:], len(key)) - 1, 1] if key.size else pairs[new, 1]], 1)
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1) | (doc[1:] != doc[:-1])]) if len(key) else [])
+                one, pairs = pairs[new, 1], np.stack([pairs[new, 0], pairs[np.append(new[1:], len(key)) - 1, 1] if len(key) else pairs[new, 1]], 1)
                 doc, key = doc[new], key[new]
-                go = np.flatnonzero(bits.holds(shared.value, key))
+                go = np.flatnonzero(bits.holds(shared.value, key[:, 0]))
                 if go.size:
                     none = [pa.nulls(len(go), pa.int64())] * 3 + [pa.nulls(len(go), pa.binary())] * 3
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[go])), part.column(1).take(pa.array(doc[go])), pa.array(pairs[go, 0]), pa.array(pairs[go, 1]), pa.array(one[go]), pa.array(key[go].view(np.int64)), *none], names)
+                    both = [pa.array(key[go, k].view(np.int64)) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[go])), part.column(1).take(pa.array(doc[go])), pa.array(pairs[go, 0]), pa.array(pairs[go, 1]), pa.array(one[go]), *both, *none], names)
 
     return docs.mapInArrow(run, _SCHEMA)
 
@@ -148,15 +162,15 @@ def find(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     placed = materialize(placed.join(placed.groupBy("root").agg(F.min("least").alias("kept")), "root").select("k1", "k2", "kept"))
     again = paragraphs.select("k1", "k2", "doc_id", "hash", "first", "last").join(placed, ["k1", "k2"]).where(_place() > F.col("kept"))
 
-    small = units.where("piece IS NOT NULL").select("piece", "doc_id", "hash", "first", "last", "one")
-    least = small.groupBy("piece").agg(F.min(_place()).alias("kept"), F.count("*").alias("n"), F.max(F.col("one") < F.col("last")).alias("again"))
-    least = materialize(least.where("n > 1 OR again").select("piece", "kept", F.ceil(F.col("n") / hot).alias("parts")))
-    # a piece of very many rows is dealt over parts of hot rows; their number is bounded by that of all rows over hot
-    small = small.join(F.broadcast(least.where("parts > 1").select("piece", "parts")), "piece", "left")
+    small, keys = units.where("piece IS NOT NULL").select("piece", "piece2", "doc_id", "hash", "first", "last", "one"), ["piece", "piece2"]
+    least = small.groupBy(*keys).agg(F.min(_place()).alias("kept"), F.count("*").alias("n"), F.max(F.col("one") < F.col("last")).alias("again"))
+    least = materialize(least.where("n > 1 OR again").select(*keys, "kept", F.ceil(F.col("n") / hot).alias("parts")))
+    # a piece of very many rows is dealt over parts of hot rows
+    small = small.join(near.small_enough(least.where("parts > 1").select(*keys, "parts")), keys, "left")
     small = small.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "hash", "first"), "parts"), F.lit(0))).drop("parts")
-    least = least.select("piece", "kept", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    least = least.select(*keys, "kept", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     # of the run with the first copy, all but the first piece repeat
-    later = small.join(least, ["piece", "part"]).withColumn("first", F.when(_place() > F.col("kept"), F.col("first")).otherwise(F.col("one"))).where("first < last")
+    later = small.join(least, [*keys, "part"]).withColumn("first", F.when(_place() > F.col("kept"), F.col("first")).otherwise(F.col("one"))).where("first < last")
 
     columns = ["doc_id", "hash", F.struct("first", "last", F.col("kept.doc_id").alias("earlier"), F.col("whole")).alias("found")]
     every = again.withColumn("whole", F.lit(True)).select(*columns).unionByName(later.withColumn("whole", F.lit(False)).select(*columns))
@@ -177,7 +191,7 @@ def cut(text: str | None, found: list[dict] | None) -> tuple[int, int, list[tupl
         (gone if f["whole"] else small)[f["first"] : f["last"]] = True
     edge = np.flatnonzero(np.diff(np.concatenate([[0], small.astype(np.int8), [0]])))
     for a, b in zip(edge[::2], edge[1::2], strict=True):
-        if b - a >= LEAST:
+        if b - a >= RUN:
             gone[a:b] = True
     for f in found:
         if gone[f["first"]] and f["earlier"] is not None:
