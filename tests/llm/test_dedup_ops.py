@@ -136,6 +136,19 @@ def test_repeats(spark, documents, nothing, hot, monkeypatch):
     assert repeats.digest(nothing).count() == 0
 
 
+def test_equal_windows():
+    """Windows are equal by their bytes, whatever their hashes."""
+    rng = np.random.default_rng(2)
+    b = np.concatenate([rng.integers(97, 99, 130, dtype=np.uint8)] * 3 + [rng.integers(0, 255, 200, dtype=np.uint8)])
+    at = np.arange(len(b) - repeats.LENGTH + 1)
+    raw = b.tobytes()
+    seen, want = {}, []
+    for k in at.tolist():
+        want.append(seen.setdefault(raw[k : k + repeats.LENGTH], k))
+    for h in (repeats.rolling(b, repeats.LENGTH), repeats.rolling(b, repeats.LENGTH) % np.uint64(7), np.zeros(len(at), np.uint64)):
+        assert repeats._first_equal(h, at, b).tolist() == want
+
+
 def test_paragraphs(spark, documents, nothing):
     got = {}
     for r in paragraphs.digest(documents).collect():
@@ -144,7 +157,7 @@ def test_paragraphs(spark, documents, nothing):
     passage = len(prose(77, 60).split())
     assert got[12].n_removed > 0 and got[12].earlier_docs == [0]
     assert got[13].n_removed > 0 and got[13].earlier_docs == [3]
-    assert got[20].n_removed >= passage // 3 and got[20].earlier_docs == [19]  # set into other words
+    assert got[20].n_removed >= passage // 3 and got[20].earlier_docs == [8, 9, 19]  # set into 20 words of 8 and 25 of 9
     assert all(got[k].n_removed == 0 for k in (*range(1, 12), 14, 15, 16, 17, 18, 21))
     for k, r in got.items():
         if k is not None and not r.n_removed:
@@ -154,6 +167,96 @@ def test_paragraphs(spark, documents, nothing):
     assert len(left[20]) < len(docs[20]) and left[1] == docs[1]
 
 
+def brute_paragraphs(rows):
+    """{(doc_id, text): (words, words that go)} by the definition: word tuples in place of hashes, all pairs of paragraphs."""
+    docs = sorted({(d is not None, d or 0, t or "") for d, t in rows})
+    units, runs, words_of = [], [], {}
+    for place, (_, _, t) in enumerate(docs):
+        lines = [line_words(x) for x in t.split("\n")]
+        words = [w for x in lines for w in x]
+        words_of[place] = words
+        at, open_at = 0, None
+        for x in [*lines, []]:
+            short = 0 < len(x) < paragraphs.LEAST
+            if not short:
+                if open_at is not None and at - open_at >= paragraphs.LEAST:
+                    units.append((place, open_at, at))
+                open_at = None
+                if len(x) >= paragraphs.LEAST:
+                    units.append((place, at, at + len(x)))
+            elif open_at is None:
+                open_at = at
+            at += len(x)
+        if len(words) >= paragraphs.RUN:
+            h = shingles.word_hashes(" ".join(words).encode())[0]
+            two = shingles.mix(h[:-1] + h[1:] * paragraphs._TURN).tolist()
+            r = paragraphs.REACH
+            cuts = sorted({0, len(words)} | {k for k in range(len(two)) if two[k] == min(two[max(0, k - r) : k + r + 1])})
+            runs.append((place, [(a, b, tuple(words[a:b])) for a, b in zip(cuts, cuts[1:])]))
+    gone = {p: set() for p in words_of}
+    sets = [{tuple(words_of[p][k : k + 5]) for k in range(a, b - 4)} for p, a, b in units]
+    up = list(range(len(units)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(units)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    for i, (p, a, b) in enumerate(units):
+        if root(i) != i:
+            gone[p] |= set(range(a, b))
+    seen, again = set(), {p: set() for p in words_of}
+    for p, some in runs:
+        for a, b, key in some:
+            if key in seen:
+                again[p] |= set(range(a, b))
+            seen.add(key)
+    for p, marks in again.items():
+        run = []
+        for k in range(len(words_of[p]) + 1):
+            if k in marks:
+                run.append(k)
+            elif run:
+                gone[p] |= set(run) if len(run) >= paragraphs.RUN else set()
+                run = []
+    return {(docs[p][1] if docs[p][0] else None, docs[p][2]): (len(words_of[p]), len(gone[p])) for p in words_of}
+
+
+def line_words(line):
+    folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line).replace("\t", " ")
+    return [w for w in folded.split(" ") if w]
+
+
+def test_paragraphs_by_definition(spark):
+    """Paragraphs well above or below the threshold, hard-wrapped ones, passages in other words, repeated rows, null ids."""
+    rnd = random.Random(12)
+    passages = [prose(700 + k, 30).replace("\n", " ") for k in range(6)]
+    wrapped = [" ".join(prose(800 + k, 48).split()) for k in range(3)]
+    rows = []
+    for k in range(60):
+        lines = [prose(1000 + k, rnd.randrange(5, 40)).replace("\n", " "), "", rnd.choice(passages), prose(2000 + k, 9).replace("\n", " ")]
+        if k % 3 == 0:
+            w = rnd.choice(wrapped).split()
+            if k % 2:
+                w[rnd.choice([0, 47])] = f"edit{k}"
+            lines += ["", *(" ".join(w[a : a + 8]) for a in range(0, 48, 8)), ""]
+        if k % 4 == 0:
+            lines.append(f"{prose(3000 + k, 7)} {rnd.choice(passages)} {prose(4000 + k, 6)}".replace("\n", " "))
+        rows.append((k, "\n".join(lines)))
+    rows += [rows[5], rows[9], (None, rows[7][1]), (None, None), (None, ""), (61, None), (62, passages[0]), (63, "short"), (63, passages[1] + "\nother")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_paragraphs(rows)
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in paragraphs.digest(df).collect())
+    assert got == sorted((str(d), *want[d, t or ""]) for d, t in rows)
+    assert sum(n for _, _, n in got) > 1500
+
+
 def test_paragraph_pairs(spark):
     """Paragraphs of similarity 0.8 and more are one component, others aren't."""
     base = prose(9, 90).replace("\n", " ").split()
