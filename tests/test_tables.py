@@ -83,7 +83,7 @@ def test_floor_block(spark):
 def test_pack_blocks(spark):
     rnd = random.Random(4)
     data = [(f"{i:05d}", "x" * rnd.choice([0, 10, 500, 4000, 5000])) for i in range(300)]
-    got = {r.k: r.block for r in scan.pack_blocks(spark.createDataFrame(data, "k string, v string"), "k", "v").collect()}
+    got = {r.k: r.block for r in scan.pack_blocks(spark.createDataFrame(data, "k string, v string").withColumn("one", F.lit(0)), "k", "v", range_key="one").collect()}
     block, used = 0, 0
     for k, v in data:
         size = 8 + len(k) + len(v)

@@ -66,6 +66,22 @@ def test_ann_recall(spark, base):
     true = {(r.query_id, r.id) for r in knn.exact(df, queries, 10).collect()}
     found = {(r.query_id, r.id) for r in knn.ann(df, queries, 10).collect()}
     assert len(true & found) >= 0.9 * len(true)
+    doubled = df.where("vec_id < 300").unionByName(df.where("vec_id < 50").selectExpr("vec_id", "transform(embedding, x -> cast(x + 9 as float)) AS embedding"))
+    again = knn.search_index(knn.build_index(doubled.coalesce(1)), queries, 3)
+    assert again.where("id = query_id AND rank = 1").count() == queries.count()  # a repeated id keeps its first vector
+    assert knn.ann(df, df.where("vec_id < 0"), 5).count() == 0 and knn.ann(df.limit(0), queries, 5).count() == 0
+
+
+def test_graph_over_blocks(spark, base, monkeypatch):
+    """Edges don't depend on how the table is cut into blocks."""
+    df, x = base
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    near = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), d[i]))[:3]}
+    want = near | {(b, a) for a, b in near}
+    for rows in (4096, 70):
+        monkeypatch.setattr(knn, "GRAPH_ROWS", rows)
+        assert {(r.src, r.dst) for r in knn.graph(df.where("vec_id < 300"), 3).collect()} == want
 
 
 def test_graph(spark, base):

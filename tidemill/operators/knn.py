@@ -1,14 +1,14 @@
 """Nearest neighbours by Euclidean distance: exact, approximate over navigable graphs, and neighbour graphs.
 
 The queries are a stated set. They are taken in blocks of QUERY_BLOCK rows; a block goes to every task, which scores its
-vectors against all of it in numpy and keeps k for each query, so what is shuffled is k rows for each query and task.
+vectors against all of it by one matrix product and keeps k for each query and batch, so what is shuffled is k rows for
+each query and batch. Neighbour graphs compare blocks of the table pair by pair and pass nothing through the driver.
 Vectors whose length differs from the query's are infinitely far. Ties go to the smaller id. Of rows
 with equal ids the nearest counts.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import vectors
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, QUERY_ROWS = 4096, 512
 GRAPH_ROWS = 4096
+FOUND = "query_id long, id long, dist double"
 
 
 def _query_blocks(queries: DataFrame, id: str, vec: str, block: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -54,35 +55,60 @@ def _merge(parts: DataFrame, k: int) -> DataFrame:
     return parts.groupBy("query_id", "id").agg(F.min("dist").alias("dist")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def exact(base: DataFrame, queries: DataFrame, k: int, *, id: str = "vec_id", vec: str = "embedding", block: int = QUERY_BLOCK, others_only: bool = False) -> DataFrame:
-    """(query_id, id, dist, rank): the k nearest rows of base for each row of queries (but itself, with others_only)."""
+def _nearest_rows(q: np.ndarray, x: np.ndarray, k: int, skip: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of q, rows of x, distances): the k nearest rows of x or more, where there are ties or nearly so.
+
+    A matrix product picks them, with room for its rounding; their distances are then computed by themselves. skip: True
+    for pairs that don't count.
+    """
+    squares = (x * x).sum(1)
+    for at in range(0, len(q), QUERY_ROWS):
+        some = q[at : at + QUERY_ROWS]
+        d = squares - 2 * (some @ x.T)
+        room = 1e-9 * (squares.max(initial=0.0) + (some * some).sum(1)) + 1e-300
+        if skip is not None:
+            d[skip[at : at + QUERY_ROWS]] = np.inf
+        least = np.partition(d, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(some), np.inf)
+        near = (d <= (least + room)[:, None]) & np.isfinite(d)
+        for j in range(len(some)):
+            rows = np.flatnonzero(near[j])
+            yield at + j, rows, np.sqrt(((x[rows] - some[j]) ** 2).sum(1))
+
+
+def _found(q_ids: np.ndarray, own: np.ndarray, near: Iterator[tuple[int, np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    out = []
+    for j, rows, d in near:
+        best = np.lexsort((own[rows], d))[:k]
+        out.append((np.full(len(best), q_ids[j]), own[rows[best]], d[best]))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "id", "dist"])
+
+
+def _by_length(vecs: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """The places of vectors of each length."""
+    sizes = np.array([len(v) for v in vecs])
+    return {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
+
+
+def exact(base: DataFrame, queries: DataFrame, k: int, *, id: str = "vec_id", vec: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, dist, rank): the k nearest rows of base for each row of queries."""
     rows, sc, out = _vectors(base, id, vec), base.sparkSession.sparkContext, None
     for ids, vecs in _query_blocks(queries, id, vec, block):
-        shared = sc.broadcast((ids, vecs))
+        shared = sc.broadcast((ids, vecs))  # `block` rows
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, q = shared.value
-            best: list[list[tuple[float, int]]] = [[] for _ in q_ids]
+            places = _by_length(q)
             for batch in batches:
                 for own, matrix in _arrays(batch):
-                    for j, v in enumerate(q):
-                        if len(v) != matrix.shape[1]:
-                            continue
-                        d = np.sqrt(((matrix - v) ** 2).sum(1))
-                        if others_only:
-                            d = np.where(own == q_ids[j], np.inf, d)
-                        near = np.argpartition(d, min(k, len(d) - 1))[: k + 1] if len(d) > k else np.arange(len(d))
-                        near = np.flatnonzero(d <= d[near].max()) if len(near) else near
-                        found = [(float(d[i]), int(own[i])) for i in near if np.isfinite(d[i])]
-                        best[j] = heapq.nsmallest(k, best[j] + found)
-            flat = [(int(q_ids[j]), i, d) for j, b in enumerate(best) for d, i in b]
-            if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], ["query_id", "id", "dist"])
-
-        part = rows.mapInArrow(score, "query_id long, id long, dist double")
+                    at = places.get(matrix.shape[1])
+                    if at is not None:
+                        yield from _found(q_ids[at], own, _nearest_rows(np.stack([q[i] for i in at]), matrix, k), k)
+
+        part = rows.mapInArrow(score, FOUND)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = base.sparkSession.createDataFrame([], "query_id long, id long, dist double")
+        out = base.sparkSession.createDataFrame([], FOUND)
     return _merge(out, k)
 
 
@@ -97,9 +123,33 @@ def search(base: DataFrame, query: list[float], k: int, **options) -> DataFrame:
     return nearest(base, query, k, **options).withColumn("score", vectors.score(F.col("dist")))
 
 
-def graph(base: DataFrame, m: int, *, id: str = "vec_id", vec: str = "embedding", approximate: bool = False) -> DataFrame:
-    """(src, dst): edges from each vector to its m nearest others, and back."""
-    near = ann(base, base, m + 1, id=id, vec=vec) if approximate else exact(base, base, m, id=id, vec=vec, others_only=True)
+def _block_pairs(base: DataFrame, m: int, id: str, vec: str) -> DataFrame:
+    """(query_id, id, dist): the m nearest others of each vector in each pair of blocks of about GRAPH_ROWS rows."""
+    rows = _vectors(base, id, vec)
+    blocks = max(1, -(-rows.count() // GRAPH_ROWS))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("id", "vec", (F.least("block", "other") * blocks + F.greatest("block", "other")).cast("long").alias("pair"), "block")
+
+    def score(group: pa.Table) -> pa.Table:
+        found = [pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2 + [pa.array([], pa.float64())], ["query_id", "id", "dist"])]
+        batch = group.combine_chunks().to_batches()[0]
+        side = dict(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True))
+        for ids, x in _arrays(batch.select(["id", "vec"])):
+            block = np.array([side[i] for i in ids.tolist()])
+            for here in np.unique(block):
+                there = block != here if len(set(side.values())) > 1 else block == here
+                q, t = np.flatnonzero(block == here), np.flatnonzero(there)
+                if len(t):
+                    found += _found(ids[q], ids[t], _nearest_rows(x[q], x[t], m, ids[q][:, None] == ids[t][None, :]), m)
+        return pa.Table.from_batches(found)
+
+    return rows.groupBy("pair").applyInArrow(score, FOUND)
+
+
+def graph(base: DataFrame, m: int, *, id: str = "vec_id", vec: str = "embedding", index: DataFrame | None = None) -> DataFrame:
+    """(src, dst): edges from each vector to its m nearest others, and back; by an index, approximately."""
+    near = search_index(index, base, m + 1, id=id, vec=vec) if index is not None else _merge(_block_pairs(base, m, id, vec), m)
     order = Window.partitionBy("query_id").orderBy("dist", "id")
     near = near.where("query_id <> id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m)
     out = near.select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
@@ -118,89 +168,136 @@ def level(id: Column, m: int, seed: int = 0) -> Column:
 
 
 class SmallWorld:
-    """A layered navigable graph over one task's vectors."""
-
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, m: int, m0: int, ef_construction: int, seed: int):
-        self.ids, self.x, self.m, self.m0 = ids, matrix, m, m0
-        levels = np.minimum((-np.log(np.random.default_rng(seed).random(len(ids))) / np.log(max(2, m))).astype(int), 16)
-        self.layers: list[dict[int, list[int]]] = []
-        self.entry = -1
-        for i in range(len(ids)):
-            self._insert(i, int(levels[i]), ef_construction)
-
-    def _far(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
-        return np.sqrt(((self.x[nodes] - q) ** 2).sum(1))
-
-    def _walk(self, q: np.ndarray, starts: list[int], ef: int, layer: int) -> list[tuple[float, int]]:
-        """The ef nearest nodes that a best-first search meets, nearest first."""
-        links, seen = self.layers[layer], set(starts)
-        todo = [(float(d), n) for d, n in zip(self._far(q, starts), starts, strict=True)]
-        heapq.heapify(todo)
-        best = [(-d, n) for d, n in todo]
-        heapq.heapify(best)
-        while todo:
-            d, n = heapq.heappop(todo)
-            if len(best) >= ef and d > -best[0][0]:
-                break
-            fresh = [x for x in links[n] if x not in seen]
-            seen.update(fresh)
-            for far, x in zip(self._far(q, fresh) if fresh else (), fresh, strict=True):
-                if len(best) < ef or far < -best[0][0]:
-                    heapq.heappush(todo, (float(far), x))
-                    heapq.heappush(best, (-float(far), x))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-        return sorted((-d, n) for d, n in best)
-
-    def _insert(self, i: int, top: int, ef: int) -> None:
-        q, at = self.x[i], [self.entry]
-        height = len(self.layers) - 1
-        for layer in range(height, top, -1):
-            at = [self._walk(q, at, 1, layer)[0][1]]
-        for layer in range(min(top, height), -1, -1):
-            found = self._walk(q, at, ef, layer)
-            most = self.m0 if layer == 0 else self.m
-            mine = [n for _, n in found[: self.m]]
-            self.layers[layer][i] = list(mine)
-            for n in mine:
-                links = self.layers[layer][n]
-                links.append(i)
-                if len(links) > most:  # keeps the nearest
-                    order = np.argsort(self._far(self.x[n], links), kind="stable")[:most]
-                    self.layers[layer][n] = [links[k] for k in order]
-            at = [n for _, n in found]
-        for _ in range(height, top):
-            self.layers.append({i: []})
-            self.entry = i
-
-    def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
-        if self.entry < 0:
-            return []
-        at = [self.entry]
-        for layer in range(len(self.layers) - 1, 0, -1):
-            at = [self._walk(q, at, 1, layer)[0][1]]
-        return [(d, int(self.ids[n])) for d, n in self._walk(q, at, max(ef, k), 0)[:k]]
-
-
-def ann(base: DataFrame, queries: DataFrame, k: int, *, id: str = "vec_id", vec: str = "embedding", m: int = 16, m0: int | None = None, ef_construction: int = 100, ef_search: int = 64, seed: int = 0, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, id, dist, rank) like exact(), from one graph for each GRAPH_ROWS rows of base; the graphs' answers are merged."""
-    rows, sc, out = _vectors(base, id, vec), base.sparkSession.sparkContext, None
+    """A navigable graph over one task's vectors, built and searched with arrays, many queries at a time.
+
+    Each node links to its m nearest others, is linked back (m0 links at most, the nearest ones), and has RANDOM links to
+    anywhere. Nodes of levels above 0 are the entries: a query starts at those nearest to it. Of nodes with equal ids the
+    first counts.
+    """
+
+    RANDOM, EXPAND = 2, 4
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, entries: np.ndarray, links: np.ndarray):
+        self.ids, self.x, self.entries, self.links = ids, x, entries, links
+
+    @classmethod
+    def build(cls, ids: np.ndarray, x: np.ndarray, levels: np.ndarray, m: int, m0: int, seed: int = 0) -> SmallWorld:
+        first = np.sort(np.unique(ids, return_index=True)[1])
+        ids, x, levels = ids[first], x[first], levels[first]
+        n = len(ids)
+        a, b, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for j, rows, far in _nearest_rows(x, x, min(m + 1, n)):
+            keep = rows != j
+            rows, far = rows[keep], far[keep]
+            best = np.argsort(far, kind="stable")[:m]
+            a.append(np.full(len(best), j))
+            b.append(rows[best])
+            d.append(far[best])
+        a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
+        a, b, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+        order = np.lexsort((b, d, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        a, b = a[new], b[new]
+        rank = np.arange(len(a)) - np.searchsorted(a, a, side="left")
+        a, b, rank = a[rank < m0], b[rank < m0], rank[rank < m0]
+        links = np.repeat(np.arange(n, dtype=np.int32)[:, None], m0 + cls.RANDOM, axis=1)  # a link to itself is none
+        links[a, rank] = b
+        links[:, m0:] = np.random.default_rng(seed).integers(0, max(1, n), (n, cls.RANDOM))
+        entries = np.flatnonzero(levels > 0)
+        return cls(ids, x, entries if len(entries) else np.arange(min(n, m0)), links)
+
+    def search(self, q: np.ndarray, k: int, ef: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row of q, nodes, distances), k of them at most."""
+        ef = max(ef, k)
+        for at in range(0, len(q), QUERY_ROWS):
+            some = q[at : at + QUERY_ROWS]
+            every = np.arange(len(some))[:, None]
+            nodes = np.broadcast_to(self.entries, (len(some), len(self.entries)))
+            seen = np.zeros((len(some), len(self.ids)), bool)
+            seen[:, self.entries] = True
+            far = np.sqrt(np.maximum(((self.x[self.entries] ** 2).sum(1) - 2 * (some @ self.x[self.entries].T)) + (some * some).sum(1)[:, None], 0.0))
+            done = np.zeros(nodes.shape, bool)
+            while True:
+                keep = np.argsort(far, axis=1, kind="stable")[:, :ef]
+                nodes, far, done = (np.take_along_axis(z, keep, 1) for z in (nodes, far, done))
+                open_far = np.where(done | ~np.isfinite(far), np.inf, far)
+                next_ = np.argsort(open_far, axis=1, kind="stable")[:, : self.EXPAND]
+                live = np.isfinite(np.take_along_axis(open_far, next_, 1))
+                if not live.any():
+                    break
+                np.put_along_axis(done, next_, True, 1)
+                new = np.where(live[:, :, None], self.links[np.take_along_axis(nodes, next_, 1)], -1).reshape(len(some), -1)
+                new = np.sort(new, axis=1)
+                fresh = (new >= 0) & ~seen[every, new]
+                fresh[:, 1:] &= new[:, 1:] != new[:, :-1]
+                seen[every, np.where(fresh, new, self.entries[0])] = True
+                i, j = np.nonzero(fresh)
+                more = np.full(new.shape, np.inf)
+                more[i, j] = np.sqrt(((self.x[new[i, j]] - some[i]) ** 2).sum(1))
+                nodes, far, done = np.concatenate([nodes, new], 1), np.concatenate([far, more], 1), np.concatenate([done, np.zeros(new.shape, bool)], 1)
+            for j in range(len(some)):
+                rows = nodes[j][np.isfinite(far[j])]
+                d = np.sqrt(((self.x[rows] - some[j]) ** 2).sum(1))
+                best = np.lexsort((self.ids[rows], d))[:k]
+                yield at + j, rows[best], d[best]
+
+
+_INDEX = "dim int, ids binary, vectors binary, entries binary, links binary"
+
+
+def build_index(base: DataFrame, *, id: str = "vec_id", vec: str = "embedding", m: int = 16, m0: int | None = None) -> DataFrame:
+    """_INDEX rows, a graph each of GRAPH_ROWS vectors at most. Write them as a table to search them many times."""
+    rows = _vectors(base, id, vec).withColumn("level", level(F.col("id"), m))
+
+    def graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+
+        def close(dim: int) -> pa.RecordBatch:
+            ids, x, levels = (np.concatenate(c) for c in zip(*held.pop(dim), strict=True))
+            w = SmallWorld.build(ids, x, levels, m, m0 or 2 * m)
+            parts = [w.ids, w.x, w.entries, w.links]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], ["dim", "ids", "vectors", "entries", "links"])
+
+        for batch in batches:
+            levels = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            for own, matrix in _arrays(batch):
+                dim = matrix.shape[1]
+                for at in range(0, len(own), GRAPH_ROWS):
+                    some = own[at : at + GRAPH_ROWS]
+                    if dim in held and sum(len(h[0]) for h in held[dim]) + len(some) > GRAPH_ROWS:
+                        yield close(dim)
+                    held.setdefault(dim, []).append((some, matrix[at : at + GRAPH_ROWS], np.array([levels[i] for i in some.tolist()])))
+        for dim in list(held):
+            yield close(dim)
+
+    return rows.mapInArrow(graphs, _INDEX)
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int, *, id: str = "vec_id", vec: str = "embedding", ef_search: int = 64, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, dist, rank) like exact(), from the graphs of build_index(); their answers are merged."""
+    sc, out = index.sparkSession.sparkContext, None
     for ids, vecs in _query_blocks(queries, id, vec, block):
-        shared = sc.broadcast((ids, vecs))
+        shared = sc.broadcast((ids, vecs))  # `block` rows
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, q = shared.value
+            places = _by_length(q)
             for batch in batches:
-                for own, matrix in _arrays(batch):
-                    for at in range(0, len(own), GRAPH_ROWS):
-                        part = slice(at, at + GRAPH_ROWS)
-                        world = SmallWorld(own[part], matrix[part], m, m0 or 2 * m, ef_construction, seed)
-                        flat = [(int(q_ids[j]), i, d) for j, v in enumerate(q) if len(v) == matrix.shape[1] for d, i in world.search(v, k, ef_search)]
-                        if flat:
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], ["query_id", "id", "dist"])
-
-        part = rows.mapInArrow(score, "query_id long, id long, dist double")
+                for dim, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own, x, entries, links = (np.frombuffer(p, t) for p, t in zip(parts, (np.int64, np.float64, np.int64, np.int32), strict=True))
+                    at = places.get(dim)
+                    if at is not None and len(own):
+                        world = SmallWorld(own, x.reshape(len(own), dim), entries, links.reshape(len(own), -1))
+                        yield from _found(q_ids[at], own, world.search(np.stack([q[i] for i in at]), k, ef_search), k)
+
+        part = index.mapInArrow(score, FOUND)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = base.sparkSession.createDataFrame([], "query_id long, id long, dist double")
+        out = index.sparkSession.createDataFrame([], FOUND)
     return _merge(out, k)
+
+
+def ann(base: DataFrame, queries: DataFrame, k: int, *, id: str = "vec_id", vec: str = "embedding", m: int = 16, m0: int | None = None, ef_search: int = 64, block: int = QUERY_BLOCK) -> DataFrame:
+    """search_index() on an index that is built for this search alone."""
+    return search_index(build_index(base, id=id, vec=vec, m=m, m0=m0), queries, k, id=id, vec=vec, ef_search=ef_search, block=block)

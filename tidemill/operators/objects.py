@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PUT, DELETE = "put", "delete"
@@ -13,13 +13,17 @@ class BucketError(ValueError):
 
 
 def current(changes: DataFrame) -> DataFrame:
-    """Live objects: the last put of each that no delete follows; created_at is the first put's since the last delete."""
+    """Live objects: the last put of each that no delete follows; created_at is the first put's since the last delete.
+
+    Who wins is decided without contents; only the winners' rows are then joined with them.
+    """
     deletes = F.max(F.when(F.col("op") == DELETE, F.col("seq")))
     gone = changes.groupBy("bucket", "key").agg(F.coalesce(deletes, F.lit(-1)).alias("_gone"))
-    puts = changes.where(F.col("op") == PUT).join(gone, ["bucket", "key"]).where(F.col("seq") > F.col("_gone"))
-    last = F.max_by(F.struct("content", "content_type", "metadata"), "seq").alias("last")
-    live = puts.groupBy("bucket", "key").agg(last, F.min_by("at", "seq").alias("created_at"), F.max_by("at", "seq").alias("modified_at"))
-    return live.select("bucket", "key", "last.*", F.octet_length(F.col("last.content")).cast("long").alias("size"), "created_at", "modified_at")
+    puts = changes.where(F.col("op") == PUT).select("bucket", "key", "seq", "at").join(gone, ["bucket", "key"]).where(F.col("seq") > F.col("_gone"))
+    live = puts.groupBy("bucket", "key").agg(F.max("seq").alias("seq"), F.min_by("at", "seq").alias("created_at"), F.max_by("at", "seq").alias("modified_at"))
+    bodies = changes.where(F.col("op") == PUT).select("bucket", "key", "seq", "content", "content_type", "metadata")
+    out = bodies.join(live, ["bucket", "key", "seq"])
+    return out.select("bucket", "key", "content", "content_type", "metadata", F.octet_length("content").cast("long").alias("size"), "created_at", "modified_at")
 
 
 def get_object(objects: DataFrame, bucket: str, key: str) -> DataFrame:
@@ -31,6 +35,16 @@ def list_objects(objects: DataFrame, bucket: str, prefix: str = "") -> DataFrame
     return objects.where(F.col("bucket") == bucket).where(F.col("key").startswith(prefix))
 
 
+def key_path(key) -> Column:
+    """A file name for a key, different for different keys."""
+    return F.url_encode(key)
+
+
+def empty_buckets(buckets: DataFrame, objects: DataFrame) -> DataFrame:
+    """The buckets (name) without objects."""
+    return buckets.join(objects.select(F.col("bucket").alias("name")).distinct(), "name", "left_anti")
+
+
 def list_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.select("name").distinct()
 

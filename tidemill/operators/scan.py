@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators import ranges
+
 BLOCK_BYTES, ENTRY_BYTES = 4096, 8
 
 
@@ -53,9 +55,16 @@ def write_sorted(df: DataFrame, key: str, path: str, *, mode: str = "errorifexis
 
 
 def block_index(blocks: DataFrame, block: str, key: str) -> DataFrame:
-    """(block, first_key, next_first_key, entries); next_first_key is null for the last. A row for each block."""
+    """(block, first_key, next_first_key, entries); next_first_key is null for the last. A row for each block.
+
+    Neighbours are found in ranges of keys; a range's last block takes the first key of the next range that has any.
+    """
     first = blocks.groupBy(block).agg(F.min(key).alias("first_key"), F.count("*").alias("entries"))
-    return first.withColumn("next_first_key", F.lead("first_key").over(Window.orderBy("first_key")))
+    first = ranges.with_range(first, "first_key", "_part")
+    firsts = first.groupBy("_part").agg(F.min("first_key").alias("_first"))
+    after = firsts.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_after"))  # a row for each range
+    out = first.withColumn("_next", F.lead("first_key").over(Window.partitionBy("_part").orderBy("first_key"))).join(F.broadcast(after), "_part")
+    return out.select(block, "first_key", "entries", F.coalesce("_next", "_after").alias("next_first_key"))
 
 
 def floor_block(keys: DataFrame, key: str, index: DataFrame, block: str) -> DataFrame:
@@ -76,15 +85,15 @@ def floor_block(keys: DataFrame, key: str, index: DataFrame, block: str) -> Data
     return out.withColumn(block, F.coalesce("_seen", "_open", "_first")).drop("_kind", "_at", "_block", "_part", "_seen", "_open", "_first")
 
 
-def pack_blocks(df: DataFrame, key: str, value: str, *, range_key: str | None = None, limit: int = BLOCK_BYTES) -> DataFrame:
+def pack_blocks(df: DataFrame, key: str, value: str, *, range_key: str, limit: int = BLOCK_BYTES) -> DataFrame:
     """df with the block (from 0, in each range) that a writer would put each entry in, in order of key.
 
     A block closes when the next entry, of ENTRY_BYTES and its key and value, would take it past limit; an entry larger
-    than that has a block of its own. range_key names the ranges of keys that are packed apart; by default all are one.
+    than that has a block of its own. range_key is the column of the ranges of keys that are packed apart, each by one
+    task (see ranges.with_range).
     """
-    r = F.col(range_key) if range_key else F.lit(0)
     size = ENTRY_BYTES + F.octet_length(F.col(key).cast("binary")) + F.octet_length(F.col(value).cast("binary"))
-    rows = df.withColumn("_range", r).withColumn("_size", size.cast("long"))
+    rows = df.withColumn("_range", F.col(range_key)).withColumn("_size", size.cast("long"))
     schema = rows.drop("_range", "_size").schema.add("block", "long")
 
     def pack(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,13 +13,36 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators import ranges
+
 COMMITTED, ABORTED = "COMMITTED", "ABORTED"
 _PART = ("topic", "partition")
 
 
 def with_offsets(rows: DataFrame, *, seq: str = "seq") -> DataFrame:
-    """rows with an offset from 0 in each partition, by seq."""
-    return rows.withColumn("offset", (F.row_number().over(Window.partitionBy(*_PART).orderBy(seq)) - 1).cast("long"))
+    """rows with an offset from 0 in each partition, by seq; a partition of any size is numbered in ranges of seq."""
+    return ranges.row_numbers(rows, seq, "offset", _PART)
+
+
+def append(log: DataFrame, rows: DataFrame, *, seq: str = "seq") -> DataFrame:
+    """log and rows, whose offsets go on in each partition after those of the log."""
+    new = with_offsets(rows, seq=seq).join(latest_offsets(log), list(_PART), "left")
+    new = new.withColumn("offset", F.col("offset") + F.coalesce("latest", F.lit(0))).drop("latest")
+    return log.unionByName(new.select(*log.columns))
+
+
+def append_markers(log: DataFrame, marks: DataFrame, *, seq: str = "seq") -> DataFrame:
+    """log and a marker for each of marks (topic, partition, tx_id, tx_state, seq), which take offsets like messages.
+
+    A marker on a partition that the log doesn't have fails the query.
+    """
+    known = log.select(*_PART).distinct().withColumn("_known", F.lit(True))
+    marks = marks.join(known, list(_PART), "left")
+    said = F.concat(F.lit("no partition "), F.col("topic"), F.lit("-"), F.col("partition").cast("string"))
+    checked = F.when(F.col("_known"), F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))
+    own = {"is_marker": checked, "tx_state": F.col("tx_state"), seq: F.col(seq), "tx_id": F.col("tx_id"), **{c: F.col(c) for c in _PART}}
+    rows = marks.select(*[own[c].alias(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in log.dtypes if c != "offset"])
+    return append(log, rows, seq=seq)
 
 
 def read(log: DataFrame, topic: str, partition: int, offset: int, most: int) -> DataFrame:
