@@ -57,7 +57,7 @@ def test_sorted_files(spark, tmp_path):
 def test_ops(spark, tmp_path):
     raw = codecs.encode_op("P", b"key1", b"v" * 300) + codecs.encode_op("P", b"key2", b"value2") + codecs.encode_op("D", b"key1")
     path = write(tmp_path / "o", ("db.wal", raw + b"\x09\0\0"))
-    assert [(r.op, bytes(r.key)) for r in codecs.read_ops(spark, path).orderBy("seq").collect()] == [("P", b"key1"), ("P", b"key2"), ("D", b"key1")]
+    assert [(r.op, bytes(r.key)) for r in codecs.read_ops(spark, path).orderBy("file", "seq").collect()] == [("P", b"key1"), ("P", b"key2"), ("D", b"key1")]
 
 
 def test_tree(spark, tmp_path):
@@ -158,3 +158,62 @@ def test_timeouts(spark, tmp_path):
     q.awaitTermination()
     got = {r.tx_id: r.state for r in spark.table("ended").collect()}
     assert got["b"] == "COMMITTED" and got["a"] == "ABORTED" and got.get("c", "ABORTED") == "ABORTED"
+
+
+def test_sinks(spark, tmp_path):
+    from tidemill.sources import sinks
+
+    rows = spark.createDataFrame([(k, 0, wal.WRITE, 0, b"k%04d" % k, b"v" * (k % 50)) for k in range(400)], "lsn long, tx_id long, type byte, flags byte, key binary, value binary")
+    path = f"file://{tmp_path}/wal"
+    made = sinks.write_wal(rows, path, segment_bytes=1024).collect()
+    assert sum(r.records for r in made) == 400 and max(r.bytes for r in made) <= 1024 and len(made) > 5
+    assert [r.lsn for r in codecs.read_wal(spark, path).orderBy("pos").collect()] == list(range(400))
+    ops = spark.createDataFrame([(1, "P", b"a", b"1"), (2, "D", b"a", None), (3, "P", b"b", b"")], "seq long, op string, key binary, value binary")
+    path = f"file://{tmp_path}/ops"
+    sinks.write_ops(ops, path, segment_bytes=1)
+    sinks.write_ops(ops.where("seq = 1"), path, run=1)
+    assert [(r.op, bytes(r.key)) for r in codecs.read_ops(spark, path).orderBy("file", "seq").collect()] == [("P", b"a"), ("D", b"a"), ("P", b"b"), ("P", b"a")]
+    sinks.clear(path)
+    assert not sinks.exists(path)
+    entries = spark.createDataFrame([(b"b", None), (b"a", b"x"), (b"", b"y")], "key binary, value binary")
+    path = f"file://{tmp_path}/run"
+    sinks.write_table(entries, path, layout="run")
+    with pytest.raises(FileExistsError):
+        sinks.write_table(entries, path, layout="run")
+    sinks.write_table(entries.where("value IS NOT NULL"), path, layout="run", mode="overwrite")
+    assert sorted(bytes(r.key) for r in codecs.read_sorted(spark, path, "run").collect()) == [b"", b"a"]
+
+
+def test_transactions(spark):
+    commands = [(1, "begin", 1), (2, "write", 1), (3, "write", 0), (4, "commit", 2), (5, "commit", 1), (6, "abort", 1), (7, "begin", 1), (8, "begin", 3), (9, "abort", 3), (10, "write", 9)]
+    df = spark.createDataFrame([(s, c, t, f"k{s}", "v") for s, c, t in commands], "seq long, cmd string, tx_id long, key string, value string")
+    assert {r.seq for r in wal.from_commands(df).where("NOT accepted").collect()} == {4, 6, 7}
+    log = wal.write(df)
+    assert [(r.lsn, r.tx_id, r.type) for r in log.orderBy("pos").collect()] == [(1, 1, wal.WRITE), (2, 0, wal.WRITE), (3, 1, wal.TXN_COMMIT), (4, 3, wal.TXN_ROLLBACK), (5, 9, wal.WRITE)]
+    assert wal.corrupt(log).isEmpty() and [bytes(r.key) for r in wal.read_all(log).collect()] == [b"k2", b"k3"]
+
+
+def test_markers_take_offsets(spark):
+    rows = spark.createDataFrame([("t", 0, 1, "1", "a"), ("t", 1, 2, "1", "b"), ("t", 0, 3, "2", "c")], "topic string, partition int, seq long, tx_id string, value string").withColumn("is_marker", F.lit(False)).withColumn("tx_state", F.lit(None).cast("string"))
+    log = txlog.with_offsets(rows)
+    marks = txlog.markers(log, spark.createDataFrame([("1", "COMMITTED"), ("2", "ABORTED")], "tx_id string, tx_state string")).withColumn("seq", F.col("tx_id").cast("long") + 10)
+    full = txlog.append_markers(log, marks)
+    assert sorted((r.partition, r.offset, r.tx_id) for r in full.where("is_marker").collect()) == [(0, 2, "1"), (0, 3, "2"), (1, 1, "1")]
+    assert [r.value for r in txlog.read_committed(full).collect()] == ["a", "b"]
+    with pytest.raises(Exception, match="no partition t-7"):
+        txlog.append_markers(log, marks.withColumn("partition", F.lit(7))).collect()
+
+
+def test_row_numbers(spark):
+    """Numbers within ranges join up to one count for each group, hot ones included."""
+    from tidemill.operators import ranges
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), f"{rnd.randrange(10**6):07d}") for _ in range(900)]
+    rows = list(dict.fromkeys(rows))
+    df = spark.createDataFrame(rows, "g string, k string")
+    got = {(r.g, r.k): r.n for r in ranges.row_numbers(df, "k", "n", ("g",), n=7).collect()}
+    for g in ("a", "b", None):
+        assert [got[g, k] for k in sorted(k for x, k in rows if x == g)] == list(range(sum(x == g for x, _ in rows)))
+    assert ranges.with_range(df, "k", "p", 7).select("p").distinct().count() == 7
+    assert ranges.row_numbers(df.limit(0), "k", "n").isEmpty()

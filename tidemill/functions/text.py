@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: languages and their extensions
@@ -29,6 +29,11 @@ def language(path: Column) -> Column:
     return F.coalesce(F.element_at(known, extension(path)), F.lit(""))
 
 
+def languages(spark: SparkSession) -> DataFrame:
+    """(language), each once."""
+    return spark.createDataFrame([(name,) for name in LANGUAGES], "language string").distinct()
+
+
 def line_count(text: Column) -> Column:
     return F.when(F.length(text) == 0, 0).otherwise(F.size(F.split(text, "\n", -1)))
 
@@ -98,5 +103,12 @@ def with_entries(metadata: Column, **entries: Column) -> Column:
     return F.map_concat(own, F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v.cast("string"))]))
 
 
+def scalars(columns: dict[str, Column], types: dict[str, str]) -> Column:
+    """A map of strings: scalars as they are, arrays, maps and structs as JSON; null columns leave no entry."""
+    nested = ("array", "map", "struct")
+    values = {c: F.to_json(v) if types[c].startswith(nested) else v.cast("string") for c, v in columns.items()}
+    return F.map_filter(F.create_map(*[x for c, v in values.items() for x in (F.lit(c), v)]), lambda k, v: v.isNotNull())
+
+
 def rfc3339(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")

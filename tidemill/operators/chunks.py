@@ -188,6 +188,12 @@ def embed(text, dim: int = 64):
     """A stand-in for an embedding model: hashed words, counted into dim places and scaled to length 1."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+    # the outer array of one makes places a variable, so that they are computed once
+    counted = F.transform(F.array(places), lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(ps, lambda p: p == i)).cast("double")))
+    scaled = F.transform(counted, _unit)
+    return F.element_at(scaled, 1)
+
+
+def _unit(counts):
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float"))), 1)

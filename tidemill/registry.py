@@ -6,7 +6,6 @@ and a transactional log; pages are objects; orders and part are sorted tables; d
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,42 +16,29 @@ from tidemill.functions import text as tx
 from tidemill.functions import vectors
 from tidemill.operators import chunks, knn, kv, objects, scan, tasks, txlog, wal
 from tidemill.plans import sql
-from tidemill.sources import files
+from tidemill.registry_base import ORACLES, QUERIES, query, table
+from tidemill.sources import files, sinks
 from tidemill.streaming import streams
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql_select_where(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from tidemill import registry_io  # noqa: F401  registers its own
 
+    return dict(QUERIES)
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
 
+def oracle_sql() -> dict[str, str]:
+    from tidemill import registry_io  # noqa: F401
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dict(ORACLES)
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str, **options) -> DataFrame:
     name = sql.parse(text, **options).table
-    return sql.to_df(spark, text, tables={name: _table(spark, sf_dir, name)}, **options)
+    return sql.to_df(spark, text, tables={name: table(spark, sf_dir, name)}, **options)
 
 
 # --- SQL ---
@@ -92,7 +78,7 @@ def sql_not_null_minus(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    e = _table(spark, sf_dir, "embeddings")
+    e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
 
 
@@ -123,41 +109,34 @@ def vec_l2(spark, sf_dir):
     return _pairs(spark, sf_dir).select("vec_id", F.round(vectors.l2(F.col("a"), F.col("b")), 6).alias("dist"))
 
 
-@query("SELECT vec_id, 64 AS padded, array_to_string(list_transform(embedding[1:2], lambda x: CAST(round(CAST(x AS DOUBLE), 1) + CAST(0 AS DOUBLE) AS VARCHAR)), ', ') AS shown FROM embeddings")
-def vec_show_pad(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings")
-    two = F.transform(F.slice("embedding", 1, 2), lambda x: F.round(x.cast("double"), 1) + F.lit(0.0))
-    return e.select("vec_id", F.size(vectors.pad(F.slice("embedding", 1, 59))).alias("padded"), F.regexp_replace(vectors.show(two), r"[\[\]]", "").alias("shown"))
-
-
 # --- nearest neighbours ---
 
 _KNN = """
-WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 3), d AS (
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), d AS (
   SELECT query_id, vec_id AS id, list_distance(CAST(embedding AS DOUBLE[]), v) AS dist FROM embeddings, q
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM d)
 """
 
 
-def _few(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "embeddings").where("vec_id < 3")
+def _queries(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
 
 
 @query(f"{_KNN} SELECT id, round(dist, 6) AS dist FROM r WHERE query_id = 0 AND rank <= 10")
 def knn_exact(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings")
+    e = table(spark, sf_dir, "embeddings")
     first = e.where("vec_id = 0").first()["embedding"]
     return knn.nearest(e, first, 10).withColumn("dist", F.round("dist", 6))
 
 
 @query(f"{_KNN} SELECT query_id, id, round(dist, 6) AS dist, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
 def knn_batch(spark, sf_dir):
-    return knn.exact(_table(spark, sf_dir, "embeddings"), _few(spark, sf_dir), 5).withColumn("dist", F.round("dist", 6))
+    return knn.exact(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 5).withColumn("dist", F.round("dist", 6))
 
 
 @query(f"{_KNN} SELECT id, round(1 / (1 + dist), 6) AS score FROM r WHERE query_id = 0 AND rank <= 10")
 def similarity_score(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings")
+    e = table(spark, sf_dir, "embeddings")
     return knn.search(e, e.where("vec_id = 0").first()["embedding"], 10).select("id", F.round("score", 6).alias("score"))
 
 
@@ -167,18 +146,18 @@ WITH d AS (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION
 SELECT src, dst FROM e UNION SELECT dst, src FROM e
 """)
 def knn_graph(spark, sf_dir):
-    return knn.graph(_table(spark, sf_dir, "embeddings"), 4)
+    return knn.graph(table(spark, sf_dir, "embeddings"), 4)
 
 
 @query()
 def knn_ann(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings")
+    e = table(spark, sf_dir, "embeddings")
     return knn.ann(e, e.where("vec_id % 20 = 0"), 10)
 
 
 @query()
 def knn_levels(spark, sf_dir):
-    return _table(spark, sf_dir, "embeddings").select("vec_id", knn.level(F.col("vec_id"), 16).alias("level"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", knn.level(F.col("vec_id"), 16).alias("level"))
 
 
 # --- key-value tables ---
@@ -186,7 +165,7 @@ def knn_levels(spark, sf_dir):
 
 def _log(spark, sf_dir) -> DataFrame:
     op = F.when(F.col("event_type") == "error", kv.DELETE).otherwise("P")
-    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.col("props").alias("value"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.col("props").alias("value"))
 
 
 _LOG = "log AS (SELECT user_id AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN 'D' ELSE 'P' END AS op, props AS value FROM events), last AS (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value, max(seq) AS seq FROM log GROUP BY key)"
@@ -228,32 +207,33 @@ def kv_overlay(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 42")
 def sst_get(spark, sf_dir):
-    return scan.point(_table(spark, sf_dir, "orders"), "o_orderkey", 42).select("o_orderkey", "o_totalprice")
+    return scan.point(table(spark, sf_dir, "orders"), "o_orderkey", 42).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 10 AND 20")
 def sst_range(spark, sf_dir):
-    return scan.between(_table(spark, sf_dir, "orders"), "o_orderkey", 10, 20).select("o_orderkey", "o_totalprice")
+    return scan.between(table(spark, sf_dir, "orders"), "o_orderkey", 10, 20).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey <= 33")
 def sst_range_open(spark, sf_dir):
-    return scan.between(_table(spark, sf_dir, "orders"), "o_orderkey", end=33).select("o_orderkey", "o_custkey")
+    return scan.between(table(spark, sf_dir, "orders"), "o_orderkey", end=33).select("o_orderkey", "o_custkey")
 
 
 @query("""
-WITH b AS (SELECT o_orderkey // 100 AS block, min(o_orderkey) AS first_key FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1), k AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 = 3)
-SELECT o_orderkey, coalesce((SELECT arg_max(block, first_key) FROM b WHERE first_key <= o_orderkey), (SELECT arg_min(block, first_key) FROM b)) AS block FROM k
+WITH b AS (SELECT o_orderkey // 100 AS block, min(o_orderkey) AS first_key FROM orders GROUP BY 1), k AS (SELECT o_orderkey, o_custkey * 11 - 500 AS k FROM orders)
+SELECT o_orderkey, k, coalesce(block, (SELECT arg_min(block, first_key) FROM b)) AS block FROM k ASOF LEFT JOIN b ON k.k >= b.first_key
 """)
 def sst_floor_block(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
-    index = scan.block_index(orders.where("o_orderkey % 7 <> 0").withColumn("block", F.expr("o_orderkey div 100")), "block", "o_orderkey")
-    return scan.floor_block(orders.where("o_orderkey % 50 = 3"), "o_orderkey", index, "block")
+    """The block where each of as many keys as there are orders, some below all blocks and some above, would be found."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    index = scan.block_index(orders.withColumn("block", F.expr("o_orderkey div 100")), "block", "o_orderkey")
+    return scan.floor_block(orders.select("o_orderkey", (F.col("o_custkey") * 11 - 500).alias("k")), "k", index, "block")
 
 
 @query("SELECT o_orderkey // 100 AS block, min(o_orderkey) AS first_key, lead(min(o_orderkey)) OVER (ORDER BY min(o_orderkey)) AS next_first_key, count(*) AS entries FROM orders GROUP BY 1")
 def sst_block_index(spark, sf_dir):
-    return scan.block_index(_table(spark, sf_dir, "orders").withColumn("block", F.expr("o_orderkey div 100")), "block", "o_orderkey")
+    return scan.block_index(table(spark, sf_dir, "orders").withColumn("block", F.expr("o_orderkey div 100")), "block", "o_orderkey")
 
 
 @query("""
@@ -263,18 +243,18 @@ p AS (SELECT p_brand, k, i, size AS used, 0 AS block FROM e WHERE i = 1
 SELECT p_brand, k, CAST(block AS BIGINT) AS block FROM p
 """)
 def sst_block_pack(spark, sf_dir):
-    rows = _table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").cast("string").alias("k"), "p_name")
+    rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").cast("string").alias("k"), "p_name")
     return scan.pack_blocks(rows, "k", "p_name", range_key="p_brand").select("p_brand", "k", "block")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'red')")
 def trie_prefix(spark, sf_dir):
-    return scan.prefix(_table(spark, sf_dir, "part"), "p_name", "red").select("p_partkey", "p_name")
+    return scan.prefix(table(spark, sf_dir, "part"), "p_name", "red").select("p_partkey", "p_name")
 
 
 @query("SELECT p_name FROM part WHERE starts_with(p_name, 'blue') ORDER BY p_name LIMIT 25")
 def trie_traverse(spark, sf_dir):
-    return scan.traverse(_table(spark, sf_dir, "part").select("p_name"), "p_name", "blue", 25)
+    return scan.traverse(table(spark, sf_dir, "part").select("p_name"), "p_name", "blue", 25)
 
 
 # --- objects ---
@@ -283,7 +263,7 @@ def trie_traverse(spark, sf_dir):
 def _changes(spark, sf_dir) -> DataFrame:
     host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
     page = F.col("page_id")
-    base = _table(spark, sf_dir, "pages").select(host.alias("bucket"), F.col("url").alias("key"), F.col("html").cast("binary").alias("content"), page)
+    base = table(spark, sf_dir, "pages").select(host.alias("bucket"), F.col("url").alias("key"), F.col("html").cast("binary").alias("content"), page)
     row = [F.lit("text/html").alias("content_type"), F.create_map(F.lit("page"), page.cast("string")).alias("metadata"), F.timestamp_seconds(page).alias("at")]
     puts = base.select((2 * page).alias("seq"), F.lit(objects.PUT).alias("op"), "bucket", "key", "content", *row)
     gone = base.where("page_id % 3 = 0").select((2 * page + 1).alias("seq"), F.lit(objects.DELETE).alias("op"), "bucket", "key", F.lit(None).cast("binary").alias("content"), *row)
@@ -300,7 +280,7 @@ live AS (SELECT bucket, key, strlen(arg_max(html, page_id)) AS size, make_timest
 
 @query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://m.')")
 def obj_list_prefix(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select("page_id", F.lit("web").alias("bucket"), F.col("url").alias("key"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("web").alias("bucket"), F.col("url").alias("key"))
     return objects.list_objects(pages, "web", "https://m.").select("page_id", F.col("key").alias("url"))
 
 
@@ -318,7 +298,7 @@ def obj_bucket_path(spark, sf_dir):
 
 
 def _wal(spark, sf_dir) -> DataFrame:
-    e = _table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "purchase", wal.TXN_COMMIT).when(F.col("event_type") == "error", wal.TXN_ROLLBACK).otherwise(wal.WRITE)
     tx_id = F.when(F.col("event_id") % 5 == 0, 0).otherwise(1 + F.expr("event_id div 8"))
     return e.select((F.col("event_id") + 1).alias("pos"), (F.col("event_id") + 1).alias("lsn"), tx_id.cast("long").alias("tx_id"), kind.alias("type"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"))
@@ -348,7 +328,7 @@ def wal_last_lsn(spark, sf_dir):
 
 @query()
 def wal_crc(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", tx.checksum(F.col("doc_id").cast("string"), F.col("text")).alias("crc"))
 
 
@@ -356,7 +336,7 @@ def wal_crc(spark, sf_dir):
 
 
 def _txlog(spark, sf_dir) -> DataFrame:
-    e = _table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events")
     state = F.when(F.col("event_type") == "purchase", txlog.COMMITTED).when(F.col("event_type") == "error", txlog.ABORTED)
     rows = e.select(F.lit("t").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition"), F.expr("event_id div 16").cast("string").alias("tx_id"), state.isNotNull().alias("is_marker"), state.alias("tx_state"), F.col("props").alias("value"), F.col("event_id").alias("seq"))
     return txlog.with_offsets(rows)
@@ -394,7 +374,7 @@ WITH t AS (SELECT event_id // 16 AS tx, min(ts) AS start_ts, bool_or(event_type
 SELECT CAST(tx AS VARCHAR) AS tx_id FROM t WHERE NOT done AND (SELECT max(ts) FROM events) - start_ts > INTERVAL 3600 SECOND
 """)
 def tx_expired(spark, sf_dir):
-    e = _table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events")
     done = F.max((F.col("event_type") == "purchase").cast("int")) == 1
     tx_rows = e.groupBy(F.expr("event_id div 16").cast("string").alias("tx_id")).agg(F.min("ts").alias("start_ts"), F.when(done, txlog.COMMITTED).otherwise("BEGIN").alias("state"))
     return txlog.expired(tx_rows.withColumn("timeout_ms", F.lit(3_600_000).cast("long")), e.agg(F.max("ts")).first()[0]).select("tx_id")
@@ -402,7 +382,7 @@ def tx_expired(spark, sf_dir):
 
 @query()
 def tx_replay(spark, sf_dir):
-    e = _table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events")
     cmd = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "begin", "view", "add", "click", "prepare", "purchase", "commit", "error", "abort")]), F.col("event_type"))
     where = F.array(F.struct(F.lit("t").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition")))
     return txlog.replay_commands(e.select(F.col("event_id").alias("seq"), cmd.alias("cmd"), F.expr("event_id div 16").cast("string").alias("tx_id"), F.lit(3_600_000).cast("long").alias("timeout_ms"), where.alias("partitions"), F.col("ts").alias("at")))
@@ -413,18 +393,7 @@ def tx_replay(spark, sf_dir):
 
 def _files(spark, sf_dir) -> DataFrame:
     path = F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return _table(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").alias("content"))
-
-
-@query()
-def chunk_split(spark, sf_dir):
-    return chunks.chunk_files(_files(spark, sf_dir)).select("path", "chunk_index", "chunk_total", "start_line", "end_line", "start_byte", "end_byte", "content")
-
-
-@query()
-def chunk_merge(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.col("html").alias("content"))
-    return chunks.chunk_files(pages, min_size=400).select("path", "kind", "chunk_index", "start_line", "end_line", "content")
+    return table(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").alias("content"))
 
 
 @query("""
@@ -435,35 +404,32 @@ def chunk_ids(spark, sf_dir):
     return chunks.chunk_files(_files(spark, sf_dir), split=False).select("path", "document_id", "chunk_id")
 
 
-@query("SELECT sha256('docs/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt') AS document_id, count(*) AS chunks FROM documents WHERE text <> '' GROUP BY 1")
-def chunk_counts(spark, sf_dir):
-    return chunks.chunk_counts(chunks.chunk_files(_files(spark, sf_dir), split=False))
-
-
 @query("""
 WITH p AS (SELECT doc_id, 'a.b/' || source || CASE doc_id % 6 WHEN 0 THEN '.go' WHEN 1 THEN '.PY' WHEN 2 THEN '.tsx' WHEN 3 THEN '.md' WHEN 4 THEN '' ELSE '.hpp' END AS path FROM documents)
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'go' WHEN 1 THEN 'python' WHEN 2 THEN 'typescript' WHEN 5 THEN 'cpp' ELSE '' END AS language FROM p
 """)
 def lang_detect(spark, sf_dir):
     ends = F.element_at(F.array(*[F.lit(x) for x in (".go", ".PY", ".tsx", ".md", "", ".hpp")]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return _table(spark, sf_dir, "documents").select("doc_id", tx.language(F.concat(F.lit("a.b/"), F.col("source"), ends)).alias("language"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.language(F.concat(F.lit("a.b/"), F.col("source"), ends)).alias("language"))
 
 
 @query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE CAST(len(string_split(text, chr(10))) AS INT) END AS lines, left(text, 20) AS head FROM documents")
 def text_lines(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", tx.line_count(F.col("text")).alias("lines"), tx.truncate(F.col("text"), 20).alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.line_count(F.col("text")).alias("lines"), tx.truncate(F.col("text"), 20).alias("head"))
 
 
 @query("SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: lpad(CAST(i AS VARCHAR), CAST(greatest(3, len(CAST(i AS VARCHAR))) AS INT), ' ') || ' | ' || x), chr(10)) AS numbered FROM documents")
 def text_numbered(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", tx.numbered(F.col("text")).alias("numbered"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.numbered(F.col("text")).alias("numbered"))
 
 
-@query("SELECT source || '.md' AS path, doc_id AS length FROM documents WHERE doc_id <= 500")
+@query("SELECT 'docs/' || source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS path, CAST(strlen(text) AS BIGINT) AS length FROM documents WHERE strlen(text) <= 2000")
 def files_select(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".md")).alias("path"), F.col("doc_id").alias("length"))
-    hidden = rows.withColumn("path", F.concat(F.lit("node_modules/"), "path"))
-    return files.select_files(rows.unionByName(hidden), extensions=[".md"], most_bytes=500)
+    """Small files of one ending; those in folders of dependencies and with other endings don't count."""
+    path = F.concat(F.lit("docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    rows = table(spark, sf_dir, "documents").select(path.alias("path"), F.octet_length("text").cast("long").alias("length"))
+    others = rows.withColumn("path", F.concat(F.lit("a/node_modules/"), "path")).unionByName(rows.withColumn("path", F.concat("path", F.lit(".txt"))))
+    return files.select_files(rows.unionByName(others), extensions=[".MD"], most_bytes=2000)
 
 
 # --- run ledger ---
@@ -474,7 +440,7 @@ SELECT CAST(user_id AS VARCHAR) AS task, count(*) AS execution_count, max(ts) AS
   arg_max(CASE WHEN event_type = 'error' THEN 'failed' ELSE '' END, (ts, event_id)) AS last_error FROM events GROUP BY user_id
 """)
 def task_status(spark, sf_dir):
-    e = _table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events")
     ledger = e.select(F.col("user_id").cast("string").alias("task"), F.col("ts").alias("run_at"), F.col("props").alias("output"), F.when(F.col("event_type") == "error", "failed").otherwise("").alias("error"), "event_id")
     return tasks.status(ledger, tie="event_id")
 
@@ -482,28 +448,30 @@ def task_status(spark, sf_dir):
 # --- streams ---
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, order: str, pieces: int = 3) -> tuple[DataFrame, str]:
-    """rows as a file stream of so many micro-batches in order, and a folder that is the query's own."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+def _streamed(spark: SparkSession, rows: DataFrame, order: str, start, pieces: int = 3) -> str:
+    """Writes rows in so many pieces by order and runs start(stream, folder) to its end after each, on one checkpoint, so
+    that each piece is a micro-batch. Returns the folder, which is the query's own."""
+    folder = f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     bounds = rows.approxQuantile(order, [i / pieces for i in range(1, pieces)], 0.01)
-    piece = sum((F.col(order) > b).cast("int") for b in bounds)
-    rows = rows.withColumn("_piece", piece)
+    rows = rows.withColumn("_piece", sum((F.col(order) > b).cast("int") for b in bounds))
+    schema = rows.drop("_piece").schema
     for k in range(pieces):
-        rows.where(F.col("_piece") == k).drop("_piece").coalesce(1).write.parquet(f"{folder}/in/{k}")
-    return spark.readStream.schema(rows.drop("_piece").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in"), folder
+        rows.where(F.col("_piece") == k).drop("_piece").write.parquet(f"{folder}/in/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        start(stream, folder).awaitTermination()
+    return folder
 
 
 @query(_SEEN)
 def stream_read_committed(spark, sf_dir):
-    stream, folder = _streamed(spark, _txlog(spark, sf_dir), "seq")
-    q = streams.read_committed(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start()
-    q.awaitTermination()
+    def start(stream, folder):
+        return streams.read_committed(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start()
+
+    folder = _streamed(spark, _txlog(spark, sf_dir), "seq", start)
     return spark.read.schema(streams.DELIVERED).parquet(f"{folder}/out").select("partition", "tx_id", "offset", "emit_offset", "value")
 
 
 @query(f"WITH {_LOG} SELECT key, value, seq FROM last WHERE op <> 'D'")
 def stream_kv_latest(spark, sf_dir):
-    stream, folder = _streamed(spark, _log(spark, sf_dir), "seq")
-    streams.upsert_latest(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    folder = _streamed(spark, _log(spark, sf_dir), "seq", lambda stream, folder: streams.upsert_latest(stream, f"{folder}/out", f"{folder}/checkpoint"))
     return streams.latest_version(spark, f"{folder}/out").where(F.col("op") != kv.DELETE).select("key", "value", "seq")

@@ -244,9 +244,10 @@ def read_sorted(spark: SparkSession, path: str, layout: str = "blocks") -> DataF
 
 
 def read_ops(spark: SparkSession, path: str, pattern: str = "*.wal") -> DataFrame:
-    """(seq, op, key, value) of a key-value log; no files, no rows."""
+    """(file, seq, op, key, value) of a key-value log, which file and seq order; no files, no rows."""
 
     def decode(name: str, raw: bytes, is_last: bool) -> Iterator[tuple]:
-        yield from decode_ops(raw)
+        for row in decode_ops(raw):
+            yield name.rpartition("/")[2], *row
 
-    return _read(_files(spark, path, pattern).withColumn("is_last", F.lit(True)), "seq long, op string, key binary, value binary", decode)
+    return _read(_files(spark, path, pattern).withColumn("is_last", F.lit(True)), "file string, seq long, op string, key binary, value binary", decode)

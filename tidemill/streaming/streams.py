@@ -47,25 +47,60 @@ def read_committed(log: DataFrame) -> DataFrame:
     return held.unionByName(free)
 
 
-def upsert_latest(log: DataFrame, path: str, checkpoint: str, **names):
-    """A query that keeps, under path, one version of the last write of each key for each micro-batch; see latest_version()."""
+BUCKETS, VERSIONS = 64, 2
+
+
+def upsert_latest(log: DataFrame, path: str, checkpoint: str, *, buckets: int = BUCKETS, **names):
+    """A query that keeps the last write of each key under path; see latest_version().
+
+    Keys are dealt into buckets, and a micro-batch rewrites only those that it touches, as a version of its own; of each
+    bucket the VERSIONS newest stay.
+    """
     key, seq, op, value = (names.get(c, c) for c in ("key", "seq", "op", "value"))
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(key, seq, op, value)
-        if epoch:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/version={epoch - 1}"))
-        kv.latest(rows, **names, keep_tombstones=True).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        rows = batch.select(key, seq, op, value).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        before = {b: [v for v in found if v < epoch] for b, found in _versions(spark, path).items()}  # an epoch may run again
+        newest = {b: found for b, found in before.items() if found}
+        touched = sorted({r.bucket for r in rows.select("bucket").distinct().collect()})
+        old = [f"{path}/bucket={b}/version={max(newest[b])}" for b in touched if b in newest]
+        if old:
+            rows = rows.unionByName(spark.read.option("basePath", path).parquet(*old).select(*rows.columns))
+        last = kv.latest(rows, **names, keep_tombstones=True).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        for_writing = last.withColumn("version", F.lit(epoch)).repartition("bucket")
+        for_writing.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)
+        for b in touched:
+            for v in sorted(newest.get(b, []))[: -(VERSIONS - 1)]:
+                _delete(spark, f"{path}/bucket={b}/version={v}")
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _path(spark, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark, path: str) -> dict[int, list[int]]:
+    """The versions of each bucket under path, from folder names."""
+    fs, p = _path(spark, f"{path}/bucket=*/version=*")
+    found: dict[int, list[int]] = {}
+    for status in fs.globStatus(p) or ():
+        folder = status.getPath()
+        found.setdefault(int(folder.getParent().getName().split("=")[1]), []).append(int(folder.getName().split("=")[1]))
+    return found
+
+
+def _delete(spark, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
 def latest_version(spark, path: str) -> DataFrame:
-    """What upsert_latest() wrote last."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == newest).drop("version")
+    """What upsert_latest() wrote last: the newest version of each bucket."""
+    newest = [f"{path}/bucket={b}/version={max(v)}" for b, v in sorted(_versions(spark, path).items())]
+    return spark.read.option("basePath", path).parquet(*newest).drop("bucket", "version")
 
 
 def timed_out(transactions: DataFrame, timeout: str = "timeout_ms"):
