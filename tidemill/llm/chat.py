@@ -9,7 +9,9 @@ its `<` (and one more if it has some already), which unescape() takes away; in r
 percent-encoded. So the control strings of the output are the template's own, and the texts read back as they were.
 
 Defined cases: null texts and roles are empty; a message whose parent is null or missing is a root; replies in a circle
-raise ValueError; equal rows stay as turns of their own; a null conversation id is an id like others.
+raise ValueError; equal rows stay as turns of their own; a null conversation id is an id like others; of paths with equal
+scores the one of the smaller leaf ranks first; an empty table has the conversation -1 only (digest) or none; texts of any
+length are formatted whole; columns other than those named are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ go through them one after the other, so no size of benchmark is ever held whole.
 
 Defined cases: a null or empty text has no words and is never hit; an item whose text is null or has no words has no
 window; an item without an id can hit words but is not listed; equal items count once; rows that repeat (also the
-doc_id) each give a row; other columns of the inputs are ignored.
+doc_id) each give a row; empty tables of documents or items give empty results or no hits; texts of any length are read
+whole, as a shard of their own if they are longer; other columns of the inputs are ignored by the search and kept by decontaminate().
 """
 
 from __future__ import annotations

@@ -21,8 +21,8 @@ from tidemill.llm.common import fresh, materialize, release
 NUM, DEN, MATCH = 85, 100, 39
 
 
-def find(docs: DataFrame, *, num: int = NUM, den: int = DEN, match: int = MATCH) -> DataFrame:
-    """(row, doc_id, n, root, component_id) for each row (doc_id, text) of docs; root is a row's number, too."""
+def _find(docs: DataFrame, num: int, den: int, match: int) -> tuple[DataFrame, list[DataFrame]]:
+    """find(), and the tables to release once its result has been used."""
     signed = materialize(near.sign(docs, "doc_id").withColumn("row", F.monotonically_increasing_id()))
     classes = materialize(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("cid"), F.min("doc_id").alias("low")))
     roots = near.connected(signed, classes, num=num, den=den, match=match, lists=near.Lists.coordinates(), need=match)
@@ -31,7 +31,12 @@ def find(docs: DataFrame, *, num: int = NUM, den: int = DEN, match: int = MATCH)
     placed = placed.join(lows, "root").select("k1", "k2", "root", "component_id")
     full = signed.where("n > 0").select("row", "doc_id", "n", "k1", "k2").join(placed, ["k1", "k2"]).drop("k1", "k2")
     empty = signed.where("n = 0").select("row", "doc_id", "n", F.col("row").alias("root"), F.col("doc_id").alias("component_id"))
-    return full.select("row", "doc_id", "n", "root", "component_id").unionByName(empty)
+    return full.select("row", "doc_id", "n", "root", "component_id").unionByName(empty), [signed, classes, roots]
+
+
+def find(docs: DataFrame, *, num: int = NUM, den: int = DEN, match: int = MATCH) -> DataFrame:
+    """(row, doc_id, n, root, component_id) for each row (doc_id, text) of docs; root is a row's number, too."""
+    return _find(docs, num, den, match)[0]
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -43,7 +48,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component of docs, that with the least doc_id (and then the first); same columns."""
     row = fresh(docs, "row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = materialize(find(numbered.select(F.struct("doc_id", row).alias("doc_id"), "text")).select("root", "doc_id"))
+    result, used = _find(numbered.select(F.struct("doc_id", row).alias("doc_id"), "text"), NUM, DEN, MATCH)
+    found = materialize(result.select("root", "doc_id"))
+    release(*used)
     kept = found.groupBy("root").agg(F.min("doc_id").alias("first"))
     gone = found.join(kept, "root").where(F.col("doc_id") != F.col("first")).select(F.col(f"doc_id.{row}").alias(row))
     return numbered.join(near.small_enough(gone), row, "left_anti").select(*docs.columns)

@@ -18,7 +18,7 @@ short lists give the pairs that reach `match`; long ones are cut into blocks, in
 component meets only those outside it, and the blocks' rows that reach `match` with some other meet their sets and give
 a spanning forest. So no task holds an unbounded group, and no group of copies is written out as pairs.
 
-Components come from large-star and small-star rounds on the links.
+Components come from large-star and small-star rounds on the links, or from one task if the links are few.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from tidemill.llm.shingles import COORDINATES, describe_texts, mix, unpack
 SMALL, BLOCK, BLOCK_GRAMS = 32, 1536, 4_000_000
 #: Lists of ids that are broadcast hold so many rows at most; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 4_000_000
+#: Components of so many edges at most are made by one task.
+LOCAL_EDGES = 1_000_000
 
 
 class Lists(NamedTuple):
@@ -412,9 +414,24 @@ def connected(signed: DataFrame, classes: DataFrame, *, num: int, den: int, matc
     return out
 
 
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = _root(up, up.setdefault(u, u)), _root(up, up.setdefault(v, v))
+            up[max(a, b)] = min(a, b)  # so roots are least nodes
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up)), pa.array([_root(up, n) for n in up])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each node's component, for nodes that have edges (a, b)."""
+    """(node, root): the least node of each node's component, for nodes that have edges (a, b).
+
+    Up to LOCAL_EDGES edges (two numbers each) are joined by one task; more take rounds of joins.
+    """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if now.count() <= LOCAL_EDGES:
+        return now.repartition(1).mapInArrow(_joined_up, "node long, root long")
     before = None
     while True:
         measure = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
