@@ -35,7 +35,7 @@ from tidemill.llm.common import materialize, release
 from tidemill.llm.repeats import sliding_min
 from tidemill.llm.shingles import SIZE, describe, fold, fold_lines, mix, shingle_sets, shingles, signatures, word_hashes, word_places
 
-LEAST, RUN, REACH, BANDS, ROWS, HOT = 20, 12, 4, 12, 4, 4000
+LEAST, RUN, REACH, BANDS, ROWS, HOT = 20, 10, 3, 12, 4, 4000
 NUM, DEN, MATCH = 80, 100, 38
 _TURN = np.uint64(0xA24BAED4963EE407 | 1)
 _BACK = np.uint64(pow(int(_TURN), -1, 1 << 64))
@@ -160,6 +160,7 @@ def find(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     roots = near.connected(paragraphs, classes, num=NUM, den=DEN, match=MATCH, lists=lists, need=1)
     placed = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     placed = materialize(placed.join(placed.groupBy("root").agg(F.min("least").alias("kept")), "root").select("k1", "k2", "kept"))
+    release(classes, roots)
     again = paragraphs.select("k1", "k2", "doc_id", "hash", "first", "last").join(placed, ["k1", "k2"]).where(_place() > F.col("kept"))
 
     small, keys = units.where("piece IS NOT NULL").select("piece", "piece2", "doc_id", "hash", "first", "last", "one"), ["piece", "piece2"]
