@@ -5,13 +5,15 @@ of the sections' hashes, which hash their paragraphs' hashes, is equal for equal
 descends only into sections that the other tree doesn't have, and finds the paragraphs that those of the other tree
 don't have, wherever they stand, so an inserted paragraph marks itself and not what follows.
 
-A fingerprint is `root:n:branches:shingles:words`, of bounded size. branches are the SKETCH least hashes of the tree's
-paragraphs, each with its length; shingles are the SKETCH least distinct hashes of the text's PIECE-word shingles (n of
-them in all), and texts of fewer than FEW shingles carry those of single words too. likeness() of texts with different
-roots is the larger of two shares: that of the equal branches in both trees by length, and the Jaccard index of the
-shingles (halved with that of the words, where either text has few), which sees what differing branches share.
-
-Defined cases: a null text is empty; an empty text has one empty section and no shingles; its likeness to any other text
+A fingerprint is `root:n:branches:pieces:words`, of bounded size. branches are the SKETCH least hashes of the tree's
+paragraphs, each with its length. pieces are the SKETCH least distinct hashes of the runs of words (n of them in all) that
+the text is cut into after each word with one of the endings CUTS, about every fourth, and after 16 words at the latest;
+so the cuts move along with what is inserted or wrapped before them. Texts of fewer than FEW pieces carry the hashes of
+single words too. likeness() of texts with different roots is the larger of two shares: that of the equal branches in
+both trees by length, and the Jaccard index of the pieces (halved with that of the words, where either text has few),
+which sees what differing branches share.
+
+Defined cases: a null text is empty; an empty text has one empty section and no pieces; its likeness to any other text
 is 0, as is that of texts without words unless they are equal; rows with equal doc_id are ordered by text, and rows that
 repeat follow each other; a null doc_id comes first; an empty table gives an empty result; texts of any length are read
 whole; other columns of the input are not read.
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import partitions
 
-SKETCH, PIECE, FEW = 64, 4, 8
-WORDS = r"[^ \t\n\r]+"
+SKETCH, FEW, CUTS = 64, 8, "eoEO.!?:;"
+BLANKS, WORDS = r"[ \t\n\r]+", "[^ ]+"
+PIECES = f"(?:[^ ]*[^ {CUTS}] ){{0,15}}[^ ]+"
 
 
 def tree(text: Column) -> Column:
@@ -76,14 +79,13 @@ def _short(text: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, name: str, tree_name: str = "_tree") -> DataFrame:
     """df with the fingerprint of a column, and its tree."""
-    df = df.withColumn(tree_name, tree(F.col(text))).withColumn("_words", F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)))
-    places = F.when(F.size("_words") > 0, F.sequence(F.lit(1), F.greatest(F.size("_words") - (PIECE - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("_shingles", F.transform(places, lambda k: _short(F.array_join(F.slice("_words", k, PIECE), " "))))
-    n = F.size("_shingles")
-    words = F.when(n < FEW, F.array_join(_least(F.transform("_words", _short)), ",")).otherwise("")
+    df = df.withColumn(tree_name, tree(F.col(text))).withColumn("_plain", F.regexp_replace(text, BLANKS, " "))
+    df = df.withColumn("_pieces", F.regexp_extract_all("_plain", F.lit(PIECES), F.lit(0)))
+    n = F.size("_pieces")
+    words = F.when(n < FEW, F.array_join(_least(F.transform(F.regexp_extract_all("_plain", F.lit(WORDS), F.lit(0)), _short)), ",")).otherwise("")
     paragraphs = F.filter(F.flatten(tree_name), lambda p: p["length"] > 0)
     branches = F.array_join(_least(F.transform(paragraphs, lambda p: F.concat_ws(".", F.substring(p["hash"], 1, 8), p["length"].cast("string")))), ",")
-    return df.withColumn(name, F.concat_ws(":", root(F.col(tree_name)), n.cast("string"), branches, F.array_join(_least(F.col("_shingles")), ","), words)).drop("_words", "_shingles")
+    return df.withColumn(name, F.concat_ws(":", root(F.col(tree_name)), n.cast("string"), branches, F.array_join(_least(F.transform("_pieces", _short)), ","), words)).drop("_plain", "_pieces")
 
 
 def _shared(a: Column, b: Column, weight) -> Column:
@@ -98,10 +100,10 @@ def likeness(a: str, b: str) -> Column:
     """0 to 1, from two columns with fingerprints."""
     x, y = F.split(a, ":"), F.split(b, ":")
     one, length = (lambda h: F.lit(1).cast("long")), (lambda h: F.substring_index(h, ".", -1).cast("long"))
-    shingles = _shared(x[3], y[3], one)
+    pieces = _shared(x[3], y[3], one)
     few = F.least(x[1].cast("int"), y[1].cast("int")) < FEW
-    shingles = F.when(few, (shingles + _shared(x[4], y[4], one)) / 2).otherwise(shingles)
-    return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(_shared(x[2], y[2], length), shingles))
+    pieces = F.when(few, (pieces + _shared(x[4], y[4], one)) / 2).otherwise(pieces)
+    return F.when(F.col(a) == F.col(b), 1.0).otherwise(F.greatest(_shared(x[2], y[2], length), pieces))
 
 
 def with_bucket(df: DataFrame, key: str, n: int) -> DataFrame:

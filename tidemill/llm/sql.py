@@ -34,19 +34,18 @@ FROM rows GROUP BY conv_id
 """
 
 
-WORDS = r"[^ \t\n\r]+"
+BLANKS, WORDS, PIECES = r"[ \t\n\r]+", "[^ ]+", "(?:[^ ]*[^ eoEO.!?:;] ){0,15}[^ ]+"
 
 
 def _fingerprint(t: str) -> str:
-    """From the columns t and t_words."""
+    """From the columns t and t_plain."""
     least = lambda hashes: f"array_to_string(list_sort(list_distinct({hashes}))[1:64], ',')"
-    words = f"{t}_words"
-    n = f"(CASE WHEN len({words}) = 0 THEN 0 ELSE greatest(len({words}) - 3, 1) END)"
-    shingles = f"list_transform(range(1, {n} + 1), lambda i: left(md5(array_to_string({words}[i:i+3], ' ')), 8))"
+    n = f"len(regexp_extract_all({t}_plain, '{PIECES}'))"
+    pieces, words = (f"list_transform(regexp_extract_all({t}_plain, '{p}'), lambda p: left(md5(p), 8))" for p in (PIECES, WORDS))
     root = f"sha256(array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256(q)), ''))), ''))"
     branches = f"list_transform(list_filter(string_split({t}, chr(10)), lambda p: p <> ''), lambda p: left(sha256(p), 8) || '.' || CAST(length(p) AS VARCHAR))"
-    few = f"CASE WHEN {n} < 8 THEN {least(f'list_transform({words}, lambda w: left(md5(w), 8))')} ELSE '' END"
-    return f"{root} || ':' || CAST({n} AS VARCHAR) || ':' || {least(branches)} || ':' || {least(shingles)} || ':' || {few}"
+    few = f"CASE WHEN {n} < 8 THEN {least(words)} ELSE '' END"
+    return f"{root} || ':' || CAST({n} AS VARCHAR) || ':' || {least(branches)} || ':' || {least(pieces)} || ':' || {few}"
 
 
 def _likeness(a: str, b: str) -> str:
@@ -58,9 +57,9 @@ def _likeness(a: str, b: str) -> str:
         return f"coalesce(coalesce({total(both)}, 0) / nullif({total(least)}, 0), 0.0)"
 
     few = f"least(CAST(split_part({a}, ':', 2) AS INT), CAST(split_part({b}, ':', 2) AS INT)) < 8"
-    shingles = f"CASE WHEN {few} THEN ({shared(4, '1')} + {shared(5, '1')}) / 2 ELSE {shared(4, '1')} END"
+    pieces = f"CASE WHEN {few} THEN ({shared(4, '1')} + {shared(5, '1')}) / 2 ELSE {shared(4, '1')} END"
     branches = shared(3, "CAST(split_part(h, '.', 2) AS BIGINT)")
-    return f"CAST(CASE WHEN {a} = {b} THEN 1.0 ELSE greatest({branches}, {shingles}) END AS DOUBLE)"
+    return f"CAST(CASE WHEN {a} = {b} THEN 1.0 ELSE greatest({branches}, {pieces}) END AS DOUBLE)"
 
 
 OP3_OPEN = "flatten(list_transform(list_filter({x}_sections, lambda s: NOT list_contains({y}_sections, s)), lambda s: string_split(s, chr(10))))"
@@ -75,7 +74,7 @@ n AS (
   SELECT *, left(text, n_chars - n_chars // 4) || left(next_text, n_chars // 4) AS edited FROM n
 ), w AS MATERIALIZED (
   SELECT *, string_split(text, chr(10) || chr(10)) AS text_sections, string_split(edited, chr(10) || chr(10)) AS edited_sections,
-    regexp_extract_all(text, '{WORDS}') AS text_words, regexp_extract_all(edited, '{WORDS}') AS edited_words, regexp_extract_all(next_text, '{WORDS}') AS next_text_words FROM e
+    regexp_replace(text, '{BLANKS}', ' ', 'g') AS text_plain, regexp_replace(edited, '{BLANKS}', ' ', 'g') AS edited_plain, regexp_replace(next_text, '{BLANKS}', ' ', 'g') AS next_text_plain FROM e
 ), p AS MATERIALIZED (
   SELECT *, {OP3_OPEN.format(x="text", y="edited")} AS gone, {OP3_OPEN.format(x="edited", y="text")} AS new FROM w
 ), f AS MATERIALIZED (
