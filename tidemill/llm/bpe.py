@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import enter, fresh
 
-KEPT, LONG, BATCH, SLICE, DECODED = 400_000, 200, 5_000, 4_000_000, 2_000_000
+KEPT, LONG, BATCH, SLICE, SPLIT, DECODED = 400_000, 200, 5_000, 4_000_000, 4_000_000, 2_000_000
 
 # a round: token-position rows of every piece that isn't done, the best pair of each, and the list with that pair as one token
 ENCODE = """
@@ -46,7 +46,8 @@ WITH RECURSIVE steps AS (
 SELECT piece, tokens AS ids FROM done
 """
 
-DECODE = "SELECT row, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM tokens JOIN vocabulary ON token = id GROUP BY row"
+# a token's bytes are spelled as the code points of the same numbers
+DECODE = "SELECT row, string_agg(spelled, '' ORDER BY pos) AS spelled FROM tokens JOIN vocabulary ON token = id GROUP BY row"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -103,8 +104,8 @@ class Coder:
         self.old: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        for name, columns, rows in (("merges", ("a", "b", "rank"), pairs), ("vocabulary", ("id", "hex"), [(r, t.hex()) for t, r in ranks.items()])):
-            kinds = {"hex": pa.string(), "rank": pa.int64()}
+        for name, columns, rows in (("merges", ("a", "b", "rank"), pairs), ("vocabulary", ("id", "spelled"), [(r, t.decode("latin-1")) for t, r in ranks.items()])):
+            kinds = {"spelled": pa.string(), "rank": pa.int64()}
             loaded = pa.table([pa.array(x, kinds.get(c, pa.int32())) for c, x in zip(columns, zip(*rows, strict=True), strict=True)] if rows else [pa.array([], kinds.get(c, pa.int32())) for c in columns], list(columns))
             self.db.register("loaded", loaded)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM loaded")
@@ -132,11 +133,9 @@ class Coder:
         return [t for t in tokens if t is not None]
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Encodes pieces that aren't known yet."""
+        """Encodes pieces that self.young doesn't have."""
         todo: list[tuple[str, bytes]] = []
         for p in pieces:
-            if p in self.young:
-                continue
             if (known := self.old.get(p)) is not None:
                 self.young[p] = known
                 continue
@@ -161,30 +160,30 @@ class Coder:
             for k, a, z in zip(found.column("piece").to_pylist(), ends[:-1], ends[1:], strict=True):
                 self.young[some[k][0]] = flat[a:z]
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[bytes]]:
+    def encode(self, texts: list[str | None]) -> list[list[bytes]]:
         """For each text, the ids of its slices as little-endian unsigned 32-bit integers."""
-        for t in texts:
-            out = []
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if len(self.young) > KEPT:
+                self.young, self.old = {}, self.young
+            known = self.young
+            self.learn([p for p in set().union(*[pieces for _, pieces in held]) if p not in known])
+            for k, pieces in held:
+                out[k].append(b"".join(map(known.__getitem__, pieces)))
+            held, size = [], 0
+
+        for k, t in enumerate(texts):
             for part in self.split.slices(t or ""):
-                pieces = self.split(part)
-                if len(self.young) > KEPT:
-                    self.young, self.old = {}, self.young
-                known = self.young
-                if not all(map(known.__contains__, pieces)):
-                    self.learn(dict.fromkeys(pieces))
-                out.append(b"".join(map(known.__getitem__, pieces)))
-            yield out
-
-    def prepare(self, texts: list[str | None]) -> None:
-        """Encodes the new pieces of many texts at once, as far as they fit."""
-        new: dict[str, None] = {}
-        for t in texts:
-            if t and len(t) <= SLICE:
-                new.update(dict.fromkeys([p for p in set(self.split(t)) if p not in self.young]))
-            if len(new) > BATCH:
-                self.learn(new)
-                new = {}
-        self.learn(new)
+                held.append((k, self.split(part)))
+                size += len(part)
+                if size >= SPLIT:
+                    flush()
+        flush()
+        return out
 
     def decode(self, parts: list[bytes]) -> Iterator[bytes]:
         """The bytes of each list of ids (little-endian unsigned 32-bit integers), up to DECODED ids or one list at a time."""
@@ -200,8 +199,8 @@ class Coder:
             self.db.register("tokens", pa.table([pa.array(row), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)], ["row", "pos", "token"]))
             found = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("tokens")
-            by_row = dict(zip(found.column("row").to_pylist(), found.column("bytes").to_pylist(), strict=True))
-            yield from (by_row.get(k, b"") for k in range(len(some)))
+            by_row = dict(zip(found.column("row").to_pylist(), found.column("spelled").to_pylist(), strict=True))
+            yield from (by_row.get(k, "").encode("latin-1") for k in range(len(some)))
             at = end
 
 
@@ -244,8 +243,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = coder(*shared.value)
         for batch in batches:
             for begin, texts in _groups(batch, at):
-                c.prepare(texts)
-                slices = list(c.encode(texts))
+                slices = c.encode(texts)
                 decoded = c.decode([ids for parts in slices for ids in parts])
                 hashes = []
                 for parts in slices:
