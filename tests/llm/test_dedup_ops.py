@@ -52,6 +52,7 @@ def family(seed, size):
 @pytest.mark.parametrize("small", [32, 3])
 def test_minhash(spark, documents, nothing, small, monkeypatch):
     monkeypatch.setattr(near, "SMALL", small)
+    monkeypatch.setattr(near, "LOCAL_EDGES", 1_000_000 if small == 32 else 0)
     monkeypatch.setattr(near, "BLOCK", 20 if small == 3 else 1536)
     docs = [(r.doc_id, r.text) for r in documents.collect()] + [(1000 + k, t) for k, t in enumerate(family(1, 60) + family(2, 25))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -68,7 +69,9 @@ def test_keep_one(spark, documents, nothing):
     assert minhash.keep_one(nothing).count() == 0 and minhash.digest(nothing).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 1_000_000])
+def test_components(spark, local, monkeypatch):
+    monkeypatch.setattr(near, "LOCAL_EDGES", local)
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, k) for k in range(1, 40)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(60)]
     got = {r.node: r.root for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
