@@ -1,6 +1,11 @@
 """A training-data pipeline over documents: each stage reads what the one before wrote.
 
 Every stage but the last returns the columns of documents. None of its decisions is undone later.
+
+Defined cases: the stages take nulls in any column, empty and very long texts, ties, repeated rows, empty tables and
+further columns as their operators do. A document with a null or empty text gets the classifier's score of an empty text;
+if it stays, it is no duplicate of any other, is never tainted and has no tokens. Of rows that repeat one stays. An empty
+table passes through all stages.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import bpe, decontaminate, minhash, pii, quality
-from tidemill.llm.common import shared_dir, table
+from tidemill.llm.common import drop_folder, shared_dir, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -53,9 +58,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over documents; every stage's are written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)  # it has been read for the last time
+        docs, before = spark.read.parquet(path), path
     return docs
