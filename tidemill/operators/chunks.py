@@ -151,8 +151,8 @@ def fold(chunks: list[Chunk], least: int = MIN_SIZE, most: int = MAX_SIZE) -> li
     return out
 
 
-def chunk_files(files: DataFrame, *, path: str = "path", content: str = "content", min_size: int = MIN_SIZE, max_size: int = MAX_SIZE, split: bool = True) -> DataFrame:
-    """Chunk rows of files (path, content as text or UTF-8 bytes)."""
+def chunk_files(files: DataFrame, *, path: str = "path", content: str = "content", min_size: int = MIN_SIZE, max_size: int = MAX_SIZE, split: bool = True, indexed_at=None) -> DataFrame:
+    """Chunk rows of files (path, content as text or UTF-8 bytes), with the time indexed_at as RFC 3339 text if it is given."""
     source = files.select(F.col(path).alias("path"), F.col(content).cast("string").alias("content"), tx.language(F.col(path)).alias("language"))
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("language", T.StringType()), *(T.StructField(n, t) for n, t in _SPLIT)])
 
@@ -169,7 +169,8 @@ def chunk_files(files: DataFrame, *, path: str = "path", content: str = "content
 
     out = source.mapInArrow(run, schema)
     place = [F.col(c) for c in ("path", "start_line", "end_line", "start_byte", "end_byte")]
-    return out.select(tx.document_id(F.col("path")).alias("document_id"), "path", "language", tx.chunk_id(*place).alias("chunk_id"), *[n for n, _ in _SPLIT])
+    when = [] if indexed_at is None else [tx.rfc3339(F.lit(indexed_at).cast("timestamp")).alias("indexed_at")]
+    return out.select(tx.document_id(F.col("path")).alias("document_id"), "path", "language", tx.chunk_id(*place).alias("chunk_id"), *[n for n, _ in _SPLIT], *when)
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:

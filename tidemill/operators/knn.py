@@ -163,7 +163,8 @@ def closest(candidates: Column, m: int) -> Column:
 
 def level(id: Column, m: int, seed: int = 0) -> Column:
     """A level with probability 1/m of each step up, always the same for an id."""
-    u = (F.xxhash64(id, F.lit(seed)).bitwiseAND((1 << 52) - 1) + 1) / float((1 << 52) + 1)
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), id.cast("string"))), 1, 12)
+    u = (F.conv(digits, 16, 10).cast("long") + 1) / float((1 << 48) + 1)
     return F.floor(-F.log(u) / F.log(F.lit(float(m)))).cast("int")
 
 

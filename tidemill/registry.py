@@ -74,6 +74,16 @@ def sql_not_null_minus(spark, sf_dir):
     return _sql(spark, sf_dir, "SELECT p_partkey FROM part WHERE NOT (p_brand = 'it''s' OR p_size <= -1) AND p_name IS NOT NULL AND p_retailprice <> 1e3")
 
 
+_TREE = ["Select", "  fields: k, w", "  table: t", "  where:", "    OR", "      AND", "        =", "          column k", "          literal 1", "        NOT", "          <", "            column v", "            -", "              literal 2", "      IS NOT NULL", "        column w"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(_TREE)) + ") t(line, shown)")
+def sql_explain(spark, sf_dir):
+    """The syntax tree of a statement, line by line."""
+    shown = sql.explain("SELECT k, w FROM t WHERE k = 1 AND NOT v < -2 OR w IS NOT NULL").split("\n")
+    return spark.createDataFrame(list(enumerate(shown)), "line int, shown string")
+
+
 # --- vectors ---
 
 
@@ -155,7 +165,7 @@ def knn_ann(spark, sf_dir):
     return knn.ann(e, e.where("vec_id % 20 = 0"), 10)
 
 
-@query()
+@query("SELECT vec_id, CAST(floor(-ln((CAST('0x' || left(md5('0:' || CAST(vec_id AS VARCHAR)), 12) AS BIGINT) + 1) / CAST(281474976710657 AS DOUBLE)) / ln(16)) AS INT) AS level FROM embeddings")
 def knn_levels(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", knn.level(F.col("vec_id"), 16).alias("level"))
 
@@ -326,7 +336,12 @@ def wal_last_lsn(spark, sf_dir):
     return wal.last_ids(_wal(spark, sf_dir))
 
 
-@query()
+@query("""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+h AS (SELECT doc_id, hex(encode(CAST(doc_id AS VARCHAR) || text)) AS h FROM documents),
+b AS (SELECT doc_id, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)) AS bytes FROM h)
+SELECT doc_id, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM b, t
+""")
 def wal_crc(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", tx.checksum(F.col("doc_id").cast("string"), F.col("text")).alias("crc"))
@@ -380,7 +395,28 @@ def tx_expired(spark, sf_dir):
     return txlog.expired(tx_rows.withColumn("timeout_ms", F.lit(3_600_000).cast("long")), e.agg(F.max("ts")).first()[0]).select("tx_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (
+  SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'begin' WHEN 'view' THEN 'add' WHEN 'click' THEN 'prepare' WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'abort' END AS cmd,
+    event_id // 16 AS tx, ts AS at, CAST(user_id % 4 AS INT) AS part, row_number() OVER (PARTITION BY event_id // 16 ORDER BY event_id) AS k FROM events
+), f AS (
+  SELECT DISTINCT tx, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS TIMESTAMP) AS began, CAST([] AS INT[]) AS parts, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS cmd, CAST(NULL AS VARCHAR) AS reason, 0 AS added FROM c
+  UNION ALL
+  SELECT c.tx, c.k, CASE WHEN r.reason IS NULL THEN r.goal WHEN r.reason = 'it timed out' THEN 'ABORTED' ELSE f.state END, CASE WHEN c.cmd = 'begin' AND r.reason IS NULL THEN c.at ELSE f.began END,
+    CASE WHEN c.cmd = 'add' AND r.reason IS NULL AND NOT list_contains(f.parts, c.part) THEN list_append(f.parts, c.part) ELSE f.parts END, c.seq, c.cmd, r.reason,
+    CASE WHEN c.cmd = 'add' AND r.reason IS NULL AND NOT list_contains(f.parts, c.part) THEN 1 ELSE 0 END
+  FROM f JOIN c ON c.tx = f.tx AND c.k = f.k + 1,
+  LATERAL (SELECT f.state IN ('BEGIN', 'PREPARED') AND epoch_us(c.at) - epoch_us(f.began) > 3600000000 AS late) l,
+  LATERAL (SELECT CASE
+      WHEN c.cmd = 'begin' THEN CASE WHEN f.state IS NOT NULL THEN 'it exists' END
+      WHEN f.state IS NULL THEN 'it doesn''t exist'
+      WHEN l.late THEN CASE WHEN c.cmd <> 'abort' THEN 'it timed out' END
+      WHEN c.cmd IN ('add', 'prepare') AND f.state = 'BEGIN' OR c.cmd = 'commit' AND f.state = 'PREPARED' OR c.cmd = 'abort' AND f.state IN ('BEGIN', 'PREPARED') THEN NULL
+      ELSE 'it is ' || f.state END AS reason,
+    CASE c.cmd WHEN 'begin' THEN 'BEGIN' WHEN 'add' THEN 'BEGIN' WHEN 'prepare' THEN 'PREPARED' WHEN 'commit' THEN 'COMMITTED' ELSE 'ABORTED' END AS goal) r
+)
+SELECT seq, CAST(tx AS VARCHAR) AS tx_id, cmd, reason IS NULL AS accepted, reason, coalesce(state, 'UNKNOWN') AS state, added FROM f WHERE k > 0
+""")
 def tx_replay(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     cmd = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "begin", "view", "add", "click", "prepare", "purchase", "commit", "error", "abort")]), F.col("event_type"))

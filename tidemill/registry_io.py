@@ -360,14 +360,14 @@ def chunk_counts(spark, sf_dir):
     return chunks.chunk_counts(chunks.chunk_files(_files(spark, sf_dir)))
 
 
-@query(f"WITH {_DECLARED} SELECT sha256(path) AS document_id, sha256(path || ':' || start_line || ':' || end_line || ':0:' || strlen(content)) AS chunk_id, content FROM u WHERE k = 1 AND start_line = 1")
+@query(f"WITH {_DECLARED} SELECT sha256(path) AS document_id, sha256(path || ':' || start_line || ':' || end_line || ':0:' || strlen(content)) AS chunk_id, content, '2024-05-06T07:08:09Z' AS indexed_at FROM u WHERE k = 1 AND start_line = 1")
 def chunk_get(spark, sf_dir):
     """The first chunk of each file, looked up by its id in all chunks."""
-    every = chunks.chunk_files(_code(spark, sf_dir), min_size=0)
+    every = chunks.chunk_files(_code(spark, sf_dir), min_size=0, indexed_at="2024-05-06 07:08:09")
     firsts = _code(spark, sf_dir).select("path", F.split("content", "\n")[0].alias("line"))
     place = tx.chunk_id(F.col("path"), F.lit(1), F.lit(1), F.lit(0), F.octet_length("line"))
     wanted = firsts.select(place.alias("chunk_id"))
-    return every.join(wanted, "chunk_id", "left_semi").select("document_id", "chunk_id", "content")
+    return every.join(wanted, "chunk_id", "left_semi").select("document_id", "chunk_id", "content", "indexed_at")
 
 
 @query("""
