@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from tidemill.llm import bits, minhash, near, paragraphs, repeats, shingles
@@ -139,6 +140,14 @@ def test_repeats(spark, documents, nothing, hot, monkeypatch):
     assert repeats.digest(nothing).count() == 0
 
 
+def test_columns_that_clash(spark, documents):
+    """Operators don't read other columns, whatever their names."""
+    plain = documents.select("doc_id", "text")
+    clash = plain.withColumns({c: F.lit("x") for c in ("row", "hash", "n", "owner", "start", "found", "spans", "cid", "k1", "size", "key")})
+    for digest in (minhash.digest, repeats.digest, paragraphs.digest):
+        assert sorted(map(str, digest(clash).collect())) == sorted(map(str, digest(plain).collect()))
+
+
 def test_equal_windows():
     """Windows are equal by their bytes, whatever their hashes."""
     rng = np.random.default_rng(2)

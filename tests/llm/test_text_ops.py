@@ -103,6 +103,17 @@ def test_chat_trees(spark):
         chat.format_trees(spark.createDataFrame([("t", 1, 3, "u", "", 1.0), ("t", 2, 1, "u", "", 1.0), ("t", 3, 2, "u", "", 1.0), ("t", 4, 3, "u", "", 1.0)], df.schema)).collect()
 
 
+def test_chat_cases(spark):
+    """Columns that clash, nulls, repeated rows, ties, long texts and an empty table."""
+    long = "word " * 200_000
+    rows = [(1, 0, "user", None, "x", 1), (1, 1, "assistant", long, "y", 2), (None, 0, "user", "a", "z", 3), (2, 0, None, "same", "t", 4), (2, 0, None, "same", "t", 4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tree string, node int")
+    got = {r.conv_id: r for r in chat.digest(df).collect()}
+    assert got.keys() == {1, None, 2, -1} and got[2].n_turns == 2 and got[1].loss_chars == len(long)
+    assert got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert [r.conv_id for r in chat.digest(df.limit(0)).collect()] == [-1]
+
+
 # --- fingerprints ---
 
 
@@ -123,6 +134,8 @@ def test_fingerprints(spark, documents, nothing):
     # a row that repeats is followed by its equal
     assert all(r.near_edited > r.near_next for r in got if int(r.fingerprint.split(":")[1]) >= 8 and r.doc_id != 2)
     assert fingerprint.digest(nothing).count() == 0
+    clash = fingerprint.digest(documents.withColumn("bucket", F.lit(1)).withColumn("extra", F.lit(2)).withColumn("fingerprint", F.lit("x")))
+    assert sorted(map(str, clash.collect())) == sorted(map(str, got))
     assert fingerprint.digest(documents.where("doc_id = 3")).first().near_next == 1
 
 
