@@ -87,7 +87,7 @@ def _units(texts: list[str | None], lists: near.Lists):
     if not runs:
         return per_text, np.empty((0, len(lists.choices)), np.uint64)
     at = np.cumsum([0, *map(len, runs[:-1])])
-    return per_text, lists.keys(signatures(np.concatenate(runs), at))
+    return per_text, lists.keys(signatures(np.concatenate(runs), at, np.unique(lists.choices)))
 
 
 def count_keys(docs: DataFrame, lists: near.Lists) -> DataFrame:

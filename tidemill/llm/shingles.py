@@ -83,10 +83,13 @@ def shingles(w: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """COORDINATES uint32 for each run of shingle hashes; runs begin at `at` and may repeat hashes."""
-    out = np.empty((len(at), COORDINATES), np.uint32)
-    for c in range(COORDINATES):
+def signatures(flat: np.ndarray, at: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
+    """COORDINATES uint32 for each run of shingle hashes; runs begin at `at` and may repeat hashes.
+
+    only: the coordinates that are asked for; the others are 0.
+    """
+    out = np.zeros((len(at), COORDINATES), np.uint32)
+    for c in range(COORDINATES) if only is None else only.tolist():
         x = flat * _TIMES[c]
         x += _PLUS[c]
         x ^= x >> np.uint64(32)
