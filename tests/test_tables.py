@@ -80,6 +80,15 @@ def test_floor_block(spark):
     assert sorted((r.k, r.block) for r in got) == sorted((k, max((i for i, s in enumerate(starts) if s <= k), default=0)) for k in keys)
 
 
+def test_floor_block_of_a_larger_table(spark):
+    """The ranges of both uses agree where the shuffle's sample of keys would differ between them."""
+    index = spark.range(3000).select(F.col("id").alias("block"), (F.col("id") * 100 + 50).alias("first_key"))
+    keys = spark.range(300_000).select("id", (F.col("id") * 7919 % 300_007).alias("k"))
+    got = scan.floor_block(keys, "k", index, "block")
+    wrong = F.sum((F.col("block") != F.greatest(F.floor((F.col("k") - 50) / 100), F.lit(0))).cast("int"))
+    assert got.agg(F.count("*"), F.countDistinct("id"), wrong).first() == (300_000, 300_000, 0)
+
+
 def test_pack_blocks(spark):
     rnd = random.Random(4)
     data = [(f"{i:05d}", "x" * rnd.choice([0, 10, 500, 4000, 5000])) for i in range(300)]

@@ -71,15 +71,16 @@ def floor_block(keys: DataFrame, key: str, index: DataFrame, block: str) -> Data
     """keys with the block of largest first_key <= key; keys below all go to the first block.
 
     Both sides meet in one sort by key: each key takes the last block that began before it, so nothing is joined by
-    inequality. The sort is cut into ranges of keys, and each range starts with the block that is open there.
+    inequality. The sort is cut into ranges of keys, and each range starts with the block that is open there. Both uses
+    of the ranges agree, as their bounds are literals.
     """
     spread = keys.select("*", F.lit(1).alias("_kind"), F.col(key).alias("_at"), F.lit(None).cast(dict(index.dtypes)[block]).alias("_block"))
     starts = index.select(*[F.lit(None).cast(t).alias(c) for c, t in keys.dtypes], F.lit(0).alias("_kind"), F.col("first_key").alias("_at"), F.col(block).alias("_block"))
-    both = spread.unionByName(starts).repartitionByRange("_at").withColumn("_part", F.spark_partition_id())
+    both = ranges.with_range(spread.unionByName(starts), "_at", "_part")
     order = Window.partitionBy("_part").orderBy("_at", "_kind")
     both = both.withColumn("_seen", F.last("_block", ignorenulls=True).over(order))
-    parts = both.groupBy("_part").agg(F.max_by("_block", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_last"), F.min("_at").alias("_low"))
-    open_at = parts.select("_part", F.last("_last", ignorenulls=True).over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))  # a row for each partition
+    parts = both.groupBy("_part").agg(F.max_by("_block", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_last"))
+    open_at = parts.select("_part", F.last("_last", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))  # a row for each range
     least = index.agg(F.min_by(block, "first_key").alias("_first"))
     out = both.where("_kind = 1").join(F.broadcast(open_at), "_part").join(F.broadcast(least))
     return out.withColumn(block, F.coalesce("_seen", "_open", "_first")).drop("_kind", "_at", "_block", "_part", "_seen", "_open", "_first")
