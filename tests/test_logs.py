@@ -146,6 +146,25 @@ def test_streams(spark, tmp_path):
     assert sorted((r.value, r.emit_offset) for r in spark.table("delivered").collect()) == sorted((r.value, r.emit_offset) for r in batch.collect())
 
 
+def test_stream_of_many_transactions(spark, tmp_path):
+    """State has a row for each bucket, not one for each transaction, and answers as the batch operator does."""
+    from tidemill.streaming import streams
+
+    rnd = random.Random(5)
+    rows = []
+    for o in range(600):
+        marker = rnd.random() < 0.2
+        rows.append(("t", 0, o, str(rnd.randrange(150)), marker, rnd.choice(["COMMITTED", "ABORTED"]) if marker else None, None if marker or rnd.random() < 0.1 else f"v{o}"))
+    for k in range(3):
+        spark.createDataFrame(rows[200 * k : 200 * k + 200], LOG).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = streams.read_committed(stream, buckets=3).writeStream.format("memory").queryName("many").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    shown = lambda df: sorted((r.offset, r.emit_offset, r.tx_id, str(r.value)) for r in df.collect())
+    assert shown(spark.table("many")) == shown(txlog.read_committed(spark.createDataFrame(rows, LOG)))
+    assert sum(op["numRowsTotal"] for op in q.recentProgress[-1]["stateOperators"]) <= 3
+
+
 def test_timeouts(spark, tmp_path):
     from tidemill.streaming import streams
 

@@ -488,6 +488,8 @@ def _streamed(spark: SparkSession, rows: DataFrame, order: str, start, pieces: i
     """Writes rows in so many pieces by order and runs start(stream, folder) to its end after each, on one checkpoint, so
     that each piece is a micro-batch. Returns the folder, which is the query's own."""
     folder = f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/rows")  # computed once
+    rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
     bounds = rows.approxQuantile(order, [i / pieces for i in range(1, pieces)], 0.01)
     rows = rows.withColumn("_piece", sum((F.col(order) > b).cast("int") for b in bounds))
     schema = rows.drop("_piece").schema

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,37 +14,54 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemill.operators import kv
 
 DELIVERED = "topic string, partition int, tx_id string, offset long, emit_offset long, value string"
-_STATE = "last string, offsets array<long>, values array<string>"
+_ROW = ["topic", "partition", "tx_id", "offset", "is_marker", "tx_state", "value"]
+_KEPT = pa.schema([("topic", pa.string()), ("partition", pa.int32()), ("tx_id", pa.string()), ("offset", pa.int64()), ("is_marker", pa.bool_()), ("tx_state", pa.string()), ("value", pa.string())])
+TX_BUCKETS = 512
 
 
 def _deliver(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    topic, partition, tx = key
-    last, offsets, values = state.get if state.exists else (None, [], [])
-    offsets, values, out = list(offsets), list(values), []
-    rows = pd.concat(list(parts)).sort_values("offset", kind="stable")
-    for r in rows.itertuples(index=False):
-        if r.is_marker:
-            last = r.tx_state
-            if last == "COMMITTED":
-                out += [(topic, partition, tx, o, r.offset, v) for o, v in zip(offsets, values, strict=True)]
-            offsets, values = [], []
-        elif last is None:
-            offsets.append(int(r.offset))
-            values.append(r.value)
-        elif last == "COMMITTED":
-            out.append((topic, partition, tx, r.offset, r.offset, r.value))
-    state.update((last, offsets, values))
-    yield pd.DataFrame(out, columns=["topic", "partition", "tx_id", "offset", "emit_offset", "value"])
-
-
-def read_committed(log: DataFrame) -> DataFrame:
+    """Of one bucket of transactions, all at once by arrays. State is log rows: of each transaction in a partition its
+    last marker, or else its held messages."""
+    rows = pd.concat(list(parts))[_ROW].sort_values("offset", kind="stable")
+    rows = rows[~rows["is_marker"] | rows["tx_state"].notna()]
+    if state.exists:
+        kept = pa.ipc.open_stream(bytes(state.get[0])).read_all().to_pandas()
+        rows = pd.concat([kept.astype({"offset": "int64", "is_marker": "bool"}), rows]) if len(kept) else rows
+    tx = rows.groupby(["topic", "partition", "tx_id"], sort=False, dropna=False).ngroup().to_numpy()
+    order = np.argsort(tx, kind="stable")  # by transaction, then as they came
+    rows, tx = rows.iloc[order], tx[order]
+    at, marker, offset = np.arange(len(rows)), rows["is_marker"].to_numpy(bool), rows["offset"].to_numpy(np.int64)
+    first, end = np.searchsorted(tx, tx, side="left"), np.searchsorted(tx, tx, side="right")
+    before = np.maximum.accumulate(np.where(marker, at, -1))
+    after = np.minimum.accumulate(np.where(marker, at, len(at))[::-1])[::-1]
+    known, marked = before >= first, after < end
+    by = np.where(known, before, np.where(marked, after, 0))  # the marker that decides
+    committed = (rows["tx_state"] == "COMMITTED").to_numpy(bool)
+    seen = ~marker & (known | marked) & committed[by] if len(rows) else marker
+    later = np.append(after[1:], len(at)) if len(rows) else after
+    keep = np.where(marker, later >= end, ~known & ~marked)
+    state.update((_bytes(rows[keep]),))
+    out = rows.loc[:, ["topic", "partition", "tx_id", "offset"]][seen]
+    yield out.assign(emit_offset=np.where(known, offset, offset[by])[seen], value=rows["value"][seen])
+
+
+def _bytes(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _KEPT) as out:
+        out.write_table(pa.Table.from_pandas(rows.assign(value=rows["value"].where(~rows["is_marker"], None)), _KEPT, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def read_committed(log: DataFrame, *, buckets: int = TX_BUCKETS) -> DataFrame:
     """DELIVERED rows of a stream of log rows (topic, partition, offset, tx_id, is_marker, tx_state, value).
 
     A partition's rows arrive by offset, as a log gives them; within a micro-batch they are put in order here. State is a
-    transaction's last marker in a partition and its held messages. Messages outside transactions pass as they come.
+    transaction's last marker in a partition and its held messages. Transactions are dealt into buckets; a micro-batch
+    rewrites the state of those that it touches, and a checkpoint goes with one number of buckets. Messages outside
+    transactions pass as they come.
     """
-    inside = log.where(F.col("tx_id").isNotNull()).select("topic", "partition", "tx_id", "offset", "is_marker", "tx_state", "value")
-    held = inside.groupBy("topic", "partition", "tx_id").applyInPandasWithState(_deliver, DELIVERED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    inside = log.where(F.col("tx_id").isNotNull()).select(F.pmod(F.xxhash64("topic", "partition", "tx_id"), F.lit(buckets)).cast("int").alias("bucket"), *_ROW)
+    held = inside.groupBy("bucket").applyInPandasWithState(_deliver, DELIVERED, "kept binary", "append", GroupStateTimeout.NoTimeout)
     free = log.where(F.col("tx_id").isNull() & ~F.col("is_marker")).select("topic", "partition", "tx_id", "offset", F.col("offset").alias("emit_offset"), "value")
     return held.unionByName(free)
 
