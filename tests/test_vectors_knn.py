@@ -72,6 +72,19 @@ def test_ann_recall(spark, base):
     assert knn.ann(df, df.where("vec_id < 0"), 5).count() == 0 and knn.ann(df.limit(0), queries, 5).count() == 0
 
 
+def test_ann_of_one_file(spark, base, monkeypatch):
+    """A table that is read by one task is indexed and searched by many, and each hands on k rows for each query."""
+    monkeypatch.setattr(knn, "GRAPH_ROWS", 70)
+    df = base[0].where("vec_id < 300").coalesce(1)
+    queries = df.where("vec_id % 20 = 0")
+    index = knn.build_index(df)
+    graphs = index.select(F.spark_partition_id().alias("task"), (F.length("ids") / 8).alias("n")).collect()
+    assert len({r.task for r in graphs}) >= 4 and sum(r.n for r in graphs) == 300 and all(r.n <= 70 for r in graphs)
+    true = {(r.query_id, r.id) for r in knn.exact(df, queries, 10).collect()}
+    found = {(r.query_id, r.id) for r in knn.ann(df, queries, 10).collect()}
+    assert len(found) == len(true) and len(true & found) >= 0.9 * len(true)
+
+
 def test_graph_over_blocks(spark, base, monkeypatch):
     """Edges don't depend on how the table is cut into blocks."""
     df, x = base

@@ -9,6 +9,7 @@ with equal ids the nearest counts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import vectors
+from tidemill.sources import sinks
 
 QUERY_BLOCK, QUERY_ROWS = 4096, 512
 GRAPH_ROWS = 4096
@@ -84,6 +86,19 @@ def _found(q_ids: np.ndarray, own: np.ndarray, near: Iterator[tuple[int, np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "id", "dist"])
 
 
+def _best(parts: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
+    """Of FOUND rows, the k nearest of each query; of equal ids the nearest."""
+    q, own, d = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in range(3))
+    order = np.lexsort((d, own, q))
+    q, own, d = q[order], own[order], d[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (own[1:] != own[:-1])
+    q, own, d = q[new], own[new], d[new]
+    order = np.lexsort((own, d, q))
+    keep = order[np.arange(len(q)) - np.searchsorted(q, q, side="left") < k]
+    return pa.RecordBatch.from_arrays([pa.array(z[keep]) for z in (q, own, d)], ["query_id", "id", "dist"])
+
+
 def _by_length(vecs: list[np.ndarray]) -> dict[int, np.ndarray]:
     """The places of vectors of each length."""
     sizes = np.array([len(v) for v in vecs])
@@ -248,8 +263,12 @@ _INDEX = "dim int, ids binary, vectors binary, entries binary, links binary"
 
 
 def build_index(base: DataFrame, *, id: str = "vec_id", vec: str = "embedding", m: int = 16, m0: int | None = None) -> DataFrame:
-    """_INDEX rows, a graph each of GRAPH_ROWS vectors at most. Write them as a table to search them many times."""
+    """_INDEX rows, a graph each of GRAPH_ROWS vectors at most. Write them as a table to search them many times.
+
+    Rows are dealt by id into partitions of about one graph, and a task holds one graph of each length at a time.
+    """
     rows = _vectors(base, id, vec).withColumn("level", level(F.col("id"), m))
+    rows = rows.repartition(max(1, -(-10 * rows.count() // (9 * GRAPH_ROWS))), "id")
 
     def graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -257,7 +276,8 @@ def build_index(base: DataFrame, *, id: str = "vec_id", vec: str = "embedding",
         def close(dim: int) -> pa.RecordBatch:
             ids, x, levels = (np.concatenate(c) for c in zip(*held.pop(dim), strict=True))
             w = SmallWorld.build(ids, x, levels, m, m0 or 2 * m)
-            parts = [w.ids, w.x, w.entries, w.links]
+            small = w.x.astype(np.float32)
+            parts = [w.ids, small if np.array_equal(small, w.x) else w.x, w.entries, w.links]
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], ["dim", "ids", "vectors", "entries", "links"])
 
         for batch in batches:
@@ -283,14 +303,17 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, *, id: str = "vec
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q_ids, q = shared.value
-            places = _by_length(q)
+            places, held = _by_length(q), []
             for batch in batches:
-                for dim, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own, x, entries, links = (np.frombuffer(p, t) for p, t in zip(parts, (np.int64, np.float64, np.int64, np.int32), strict=True))
-                    at = places.get(dim)
+                for i in range(batch.num_rows):  # graph by graph, in the batch's own memory
+                    dim, *parts = (c[i] for c in batch.columns)
+                    own, x, entries, links = (np.frombuffer(p.as_buffer(), t) for p, t in zip(parts, (np.int64, np.uint8, np.int64, np.int32), strict=True))
+                    at = places.get(dim.as_py())
                     if at is not None and len(own):
-                        world = SmallWorld(own, x.reshape(len(own), dim), entries, links.reshape(len(own), -1))
-                        yield from _found(q_ids[at], own, world.search(np.stack([q[i] for i in at]), k, ef_search), k)
+                        x = x.view(np.float32 if len(x) == 4 * dim.as_py() * len(own) else np.float64).astype(np.float64).reshape(len(own), -1)
+                        world = SmallWorld(own, x, entries, links.reshape(len(own), -1))
+                        held = [_best([*held, *_found(q_ids[at], own, world.search(np.stack([q[i] for i in at]), k, ef_search), k)], k)]
+            yield from held
 
         part = index.mapInArrow(score, FOUND)
         out = part if out is None else out.unionByName(part)
@@ -300,5 +323,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, *, id: str = "vec
 
 
 def ann(base: DataFrame, queries: DataFrame, k: int, *, id: str = "vec_id", vec: str = "embedding", m: int = 16, m0: int | None = None, ef_search: int = 64, block: int = QUERY_BLOCK) -> DataFrame:
-    """search_index() on an index that is built for this search alone."""
-    return search_index(build_index(base, id=id, vec=vec, m=m, m0=m0), queries, k, id=id, vec=vec, ef_search=ef_search, block=block)
+    """search_index() on an index that is built for this search alone, once: a table of its own in the shared folder."""
+    spark, folder = base.sparkSession, f"{sinks.shared_folder(base.sparkSession)}/ann-{uuid.uuid4().hex}"
+    index = build_index(base, id=id, vec=vec, m=m, m0=m0)
+    index.write.option("maxRecordsPerFile", 8).option("parquet.block.size", 16 << 20).parquet(folder)
+    return search_index(spark.read.schema(_INDEX).parquet(folder), queries, k, id=id, vec=vec, ef_search=ef_search, block=block)
