@@ -97,6 +97,36 @@ def test_graph_over_blocks(spark, base, monkeypatch):
         assert {(r.src, r.dst) for r in knn.graph(df.where("vec_id < 300"), 3).collect()} == want
 
 
+@pytest.mark.parametrize("shift, spread", [(0, 1), (1000, 1e-2), (0, 1e20), (7, 0)])
+def test_pairs_of_blocks(monkeypatch, shift, spread):
+    """Both directions of a pair of blocks come from one product; far from the origin, in any scale and with ties."""
+    monkeypatch.setattr(knn, "TILE", 37)
+    monkeypatch.setattr(knn, "PAIRS", 100)
+    x = (shift + spread * np.random.default_rng(2).normal(size=(200, 8))).astype(np.float32).astype(float)
+    x[50:60] = x[40]
+    ids = np.arange(200)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+
+    def want(rows, others):
+        return {(i, int(j)) for i in rows for j in others[np.lexsort((others, d[i, others]))[:4]]}
+
+    a, b, own = knn._Side(ids[:90], x[:90], 4), knn._Side(ids[90:], x[90:], 4), knn._Side(ids, x, 4)
+    knn._meet(a, b)
+    knn._meet(own, own)
+    got = [{(r["query_id"], r["id"]) for r in side.found().to_pylist()} for side in (a, b, own)]
+    assert got == [want(ids[:90], ids[90:]), want(ids[90:], ids[:90]), want(ids, ids)]
+
+
+def test_graph_of_blocks_by_size(spark, base, monkeypatch):
+    """Blocks are as large as a task can hold, so a vector travels to few of them; one that isn't finite has no edges."""
+    df = base[0].where("vec_id < 300").unionByName(spark.sql("SELECT 400L AS vec_id, array_repeat(cast('NaN' AS float), 8) AS embedding"))
+    whole = {(r.src, r.dst) for r in knn.graph(df, 3).collect()}
+    assert len({a for a, _ in whole}) == 300
+    monkeypatch.setattr(knn, "PAIR_FLOATS", 800)  # 4 blocks
+    assert {(r.src, r.dst) for r in knn.graph(df, 3).collect()} == whole
+
+
 def test_graph(spark, base):
     df, x = base
     edges = {(r.src, r.dst) for r in knn.graph(df.where("vec_id < 300"), 3).collect()}

@@ -22,6 +22,8 @@ from tidemill.sources import sinks
 
 QUERY_BLOCK, QUERY_ROWS = 4096, 512
 GRAPH_ROWS = 4096
+PAIR_BLOCK, PAIR_FLOATS = 4, 1 << 20  # a block of neighbour graphs: so many times GRAPH_ROWS, or so many numbers, at most
+TILE, PAIRS = 1024, 1 << 16
 FOUND = "query_id long, id long, dist double"
 
 
@@ -86,17 +88,23 @@ def _found(q_ids: np.ndarray, own: np.ndarray, near: Iterator[tuple[int, np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "id", "dist"])
 
 
-def _best(parts: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
-    """Of FOUND rows, the k nearest of each query; of equal ids the nearest."""
-    q, own, d = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in range(3))
+def _least(q: np.ndarray, own: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(q, own, d, rank): of rows (q, own, d) the k least d of each q, by d and own; of equal (q, own) the least."""
     order = np.lexsort((d, own, q))
     q, own, d = q[order], own[order], d[order]
     new = np.ones(len(q), bool)
     new[1:] = (q[1:] != q[:-1]) | (own[1:] != own[:-1])
     q, own, d = q[new], own[new], d[new]
     order = np.lexsort((own, d, q))
-    keep = order[np.arange(len(q)) - np.searchsorted(q, q, side="left") < k]
-    return pa.RecordBatch.from_arrays([pa.array(z[keep]) for z in (q, own, d)], ["query_id", "id", "dist"])
+    rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+    order, rank = order[rank < k], rank[rank < k]
+    return q[order], own[order], d[order], rank
+
+
+def _best(parts: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
+    """Of FOUND rows, the k nearest of each query; of equal ids the nearest."""
+    best = _least(*(np.concatenate([p.column(c).to_numpy() for p in parts]) for c in range(3)), k)
+    return pa.RecordBatch.from_arrays([pa.array(z) for z in best[:3]], ["query_id", "id", "dist"])
 
 
 def _by_length(vecs: list[np.ndarray]) -> dict[int, np.ndarray]:
@@ -138,25 +146,100 @@ def search(base: DataFrame, query: list[float], k: int, **options) -> DataFrame:
     return nearest(base, query, k, **options).withColumn("score", vectors.score(F.col("dist")))
 
 
+class _Side:
+    """The rows of one block, and of each the m nearest found so far."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, m: int):
+        self.ids, self.x, self.m = ids, x, m
+        self.copies = int(np.unique(ids, return_counts=True)[1].max())
+        self.own, self.d = np.zeros((len(ids), m), np.int64), np.full((len(ids), m), np.inf)
+
+    def add(self, rows: np.ndarray, other: _Side, there: np.ndarray) -> None:
+        """Takes the pairs (rows, rows of the other side); few of them at a time are compared and kept."""
+        for at in range(0, len(rows), PAIRS):
+            i, j = rows[at : at + PAIRS], there[at : at + PAIRS]
+            d = np.sqrt(((other.x[j] - self.x[i]) ** 2).sum(1))
+            old = np.unique(i)
+            q, own, far = np.repeat(old, self.m), self.own[old].ravel(), self.d[old].ravel()
+            held = np.isfinite(far)
+            q, own, far, rank = _least(np.concatenate([q[held], i]), np.concatenate([own[held], other.ids[j]]), np.concatenate([far[held], d]), self.m)
+            self.own[q, rank], self.d[q, rank] = own, far
+
+    def found(self) -> pa.RecordBatch:
+        i, j = np.nonzero(np.isfinite(self.d))
+        return pa.RecordBatch.from_arrays([pa.array(z) for z in (self.ids[i], self.own[i, j], self.d[i, j])], ["query_id", "id", "dist"])
+
+
+def _meet(a: _Side, b: _Side) -> None:
+    """Each side's rows meet the other's (with a is b: its own, but for equal ids), tile by tile.
+
+    A product in 4-byte numbers, of rows moved to their middle and scaled, picks the pairs; its rounding is bounded, and
+    what could be among the m nearest is computed by itself. A tile of rows that hold fewer than m is sorted in part.
+    """
+    middle = (a.x.mean(0) + b.x.mean(0)) / 2
+    most = max(np.abs(s.x - middle).max(initial=0.0) for s in (a, b))
+    scale = 1 / most if most > 0 else 1.0
+    sides = [(s.x - middle) * scale for s in ((a,) if a is b else (a, b))]
+    squares = [(y * y).sum(1) for y in sides]
+    dim, reach = a.x.shape[1], np.sqrt(max(q.max() for q in squares))
+    whole = max(np.abs(s.x).max(initial=0.0) for s in (a, b)) * scale
+    room = (dim + 8) * 2.0**-23 * (2 * reach) ** 2 + 16 * dim * 2.0**-52 * whole * (whole + reach) + 1e-30
+    # rows (-2 y, |y|^2, 1) times rows (y, 1, |y|^2) are squared distances
+    left = np.concatenate([-2 * sides[0], squares[0][:, None], np.ones((len(a.ids), 1))], 1).astype(np.float32)
+    right = np.concatenate([sides[-1], np.ones((len(b.ids), 1)), squares[-1][:, None]], 1).astype(np.float32)
+
+    def bound(side: _Side, rows: slice, other: _Side, d: np.ndarray) -> np.ndarray:
+        """The distance beyond which no pair of these rows counts; d: theirs from the tile, by row."""
+        far = (side.d[rows, -1] * scale) ** 2 + room
+        new = np.flatnonzero(~np.isfinite(far))
+        k = side.m * other.copies
+        if len(new) and d.shape[1] > k:
+            far[new] = np.partition(d[new], k - 1, axis=1)[:, k - 1].astype(np.float64) + 2 * room
+        return (far * (1 + 1e-6)).astype(np.float32)
+
+    for i in range(0, len(a.ids), TILE):
+        here = slice(i, min(i + TILE, len(a.ids)))
+        for j in range(0, len(b.ids), TILE):
+            there = slice(j, min(j + TILE, len(b.ids)))
+            d = left[here] @ right[there].T
+            if a is b:
+                d[a.ids[here][:, None] == b.ids[there][None, :]] = np.inf
+            near = (d <= bound(a, here, b, d)[:, None]) & np.isfinite(d) if a is b else d <= bound(a, here, b, d)[:, None]
+            rows, cols = np.divmod(np.flatnonzero(near), d.shape[1])
+            a.add(rows + i, b, cols + j)
+            if a is not b:
+                rows, cols = np.divmod(np.flatnonzero(d <= bound(b, there, a, d.T)[None, :]), d.shape[1])
+                b.add(cols + j, a, rows + i)
+
+
 def _block_pairs(base: DataFrame, m: int, id: str, vec: str) -> DataFrame:
-    """(query_id, id, dist): the m nearest others of each vector in each pair of blocks of about GRAPH_ROWS rows."""
+    """(query_id, id, dist): the m nearest others of each vector in each pair of blocks.
+
+    Blocks are of about PAIR_BLOCK * GRAPH_ROWS rows or PAIR_FLOATS numbers; a row goes to as many tasks as there are blocks.
+    """
     rows = _vectors(base, id, vec)
-    blocks = max(1, -(-rows.count() // GRAPH_ROWS))
+    many = rows.agg(F.count("*"), F.sum(F.size("vec"))).first()
+    blocks = max(1, -(-many[0] // (PAIR_BLOCK * GRAPH_ROWS)), -(-(many[1] or 0) // PAIR_FLOATS))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("id", "vec", (F.least("block", "other") * blocks + F.greatest("block", "other")).cast("long").alias("pair"), "block")
+    rows = rows.select("id", "vec", (F.least("block", "other").cast("long") * blocks + F.greatest("block", "other")).alias("pair"), "block")
 
     def score(group: pa.Table) -> pa.Table:
         found = [pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2 + [pa.array([], pa.float64())], ["query_id", "id", "dist"])]
         batch = group.combine_chunks().to_batches()[0]
-        side = dict(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True))
+        every, place = np.unique(batch.column(0).to_numpy(), return_index=True)
+        block = batch.column(3).to_numpy()[place]  # a block holds all rows of an id
+        lone = batch.column(2)[0].as_py() // blocks == batch.column(2)[0].as_py() % blocks
         for ids, x in _arrays(batch.select(["id", "vec"])):
-            block = np.array([side[i] for i in ids.tolist()])
-            for here in np.unique(block):
-                there = block != here if len(set(side.values())) > 1 else block == here
-                q, t = np.flatnonzero(block == here), np.flatnonzero(there)
-                if len(t):
-                    found += _found(ids[q], ids[t], _nearest_rows(x[q], x[t], m, ids[q][:, None] == ids[t][None, :]), m)
+            known = np.isfinite(x).all(1)
+            ids, x = ids[known], x[known]
+            side = block[np.searchsorted(every, ids)]
+            sides = [_Side(ids[side == s], x[side == s], m) for s in np.unique(side)]
+            if sides and lone:
+                _meet(sides[0], sides[0])
+            elif len(sides) == 2:
+                _meet(*sides)
+            found += [s.found() for s in sides]
         return pa.Table.from_batches(found)
 
     return rows.groupBy("pair").applyInArrow(score, FOUND)
